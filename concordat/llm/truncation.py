@@ -21,7 +21,7 @@ from concordat.llm.normalize import canonical
 #: Words of a short answer at most; a longer value that recurs is not taken for complete because of that.
 SHORT_WORDS = 8
 _MARK = r"(?:\s|…|\.{2,}|�|&#?\w*;?|\[\s*$|\[?(?:\.{3}|…)\]?)+$"
-_ENDED = r"[.!?。！？؟।;;]['\"”’»)\]]*\s*$"
+_ENDED = r"[.!?。！？؟।\u037e](?:\s*['\"”’»)\]])*\s*$"
 # Abbreviations that a sentence does not end with.
 _SHORTENED = r"(?i)(?:^|[\s(«“])(?:art|al|ann|cf|fig|p|pp|vol|no|nr|núm|pág|n|abs|anh|abb|s|sec|cap|dr|mr|mrs|ms|mme|m|st|i\.e|e\.g|z\.b|d\.h|p\. ex|bzw|approx|ca|vgl)\.\s*$"
 _TAIL = regex.compile(_MARK)
