@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from concordat.llm import normalize, sentences, split, truncation
+from concordat.llm import leaks, normalize, sentences, split, truncation
 from concordat.sources.tables import load
 
 
@@ -51,11 +51,20 @@ def p7_by_model(spark: SparkSession, d: str) -> DataFrame:
     return truncation.shares(a, "contribution_id", ["summary_fr", "evidence"], "model", {"evidence": load(spark, d, "contributions").select("id", "text")})
 
 
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents").select("doc_id", "text")
+    return leaks.find(docs, "doc_id", "text", load(spark, d, "eval_items"), "item_id", "passage")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(load(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p6_found, p6_normalized, p7_found, p7_truncated, p7_by_model, p10_found)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p6_found, p6_normalized, p7_found, p7_truncated, p7_by_model, p8_found, p8_leaks, p10_found)}
 
 ORACLE = {
     "p4_found": " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS tbl, id AS rec_id FROM {t} WHERE length(text) > 2500" for t in ("segments", "contributions")),

@@ -395,7 +395,9 @@ def fit(texts: list[str]) -> Classifier:
 def sample(df: DataFrame, text: str, most: int = SAMPLE_DOCUMENTS) -> list[str]:
     """At most `most` texts for fitting, the ones of least hash, so any copy of the data gives the same; each cut to 4,000 characters for this purpose alone."""
     t = F.col(f"`{text}`")
-    return [r[0] for r in df.select(F.substring(t, 1, 4000).alias("t"), F.xxhash64(t).alias("h")).filter(F.col("t").isNotNull()).orderBy("h").limit(most).collect()]
+    one_in = max(1, df.count() // max(1, most))  # so that about `most` rows pass the filter, whatever the table's size
+    held = df.select(t.alias("t"), F.xxhash64(t).alias("h")).filter(F.col("t").isNotNull() & (F.pmod("h", F.lit(one_in)) == 0))
+    return [r[0] for r in held.select(F.substring("t", 1, 4000).alias("t"), "h").orderBy("h").limit(most).collect()]
 
 
 def _split(batches: Iterator[pa.RecordBatch], decide: Classifier) -> Iterator[pa.RecordBatch]:
