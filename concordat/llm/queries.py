@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from concordat.llm import leaks, normalize, sentences, split, truncation
+from concordat.llm import leaks, mixture, normalize, sentences, split, truncation
 from concordat.sources.tables import load
 
 
@@ -60,11 +60,23 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).select("doc_id", "item_id").distinct()
 
 
+def _p9(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixture.draw(load(spark, d, "documents"), "doc_id", "text", "source", load(spark, d, "mix_targets"))
+
+
+def p9_drawn(spark: SparkSession, d: str) -> DataFrame:
+    return _p9(spark, d)[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _p9(spark, d)[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(load(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p6_found, p6_normalized, p7_found, p7_truncated, p7_by_model, p8_found, p8_leaks, p10_found)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p6_found, p6_normalized, p7_found, p7_truncated, p7_by_model, p8_found, p8_leaks, p9_drawn, p9_shares, p10_found)}
 
 ORACLE = {
     "p4_found": " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS tbl, id AS rec_id FROM {t} WHERE length(text) > 2500" for t in ("segments", "contributions")),
