@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from concordat.llm import leaks, mixture, normalize, sentences, split, truncation
+from concordat.llm import leaks, mixture, neardup, normalize, sentences, split, truncation
 from concordat.sources.tables import load
 
 
@@ -14,6 +14,21 @@ def _both(spark: SparkSession, d: str, operator) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _p1(spark: SparkSession, d: str, table: str, shingle: int, threshold: float) -> neardup.NearDuplicates:
+    return neardup.NearDuplicates(load(spark, d, table), "id", "text", shingle, threshold, least_words=20)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    parts = [_p1(spark, d, t, 3, 0.55).pairs().select(F.lit(t).alias("tbl"), "id_a", "id_b") for t in ("segments", "contributions")]
+    return parts[0].unionByName(parts[1])
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of texts with 0.8 of their five-word sequences in common, directly or through others."""
+    parts = [_p1(spark, d, t, 5, 0.8).groups().select(F.lit(t).alias("tbl"), "key", "group_id", "n_links") for t in ("segments", "contributions")]
+    return parts[0].unionByName(parts[1])
+
+
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _both(spark, d, lambda df: split.split_oversized(df, "id", "text"))
 
@@ -76,7 +91,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(load(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p6_found, p6_normalized, p7_found, p7_truncated, p7_by_model, p8_found, p8_leaks, p9_drawn, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_pieces, p6_found, p6_normalized, p7_found, p7_truncated, p7_by_model, p8_found, p8_leaks, p9_drawn, p9_shares, p10_found)}
 
 ORACLE = {
     "p4_found": " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS tbl, id AS rec_id FROM {t} WHERE length(text) > 2500" for t in ("segments", "contributions")),
