@@ -302,7 +302,7 @@ def f5(spark, d):
     return scored(spark, d).filter(F.col("stance").isNull()).select("id")
 
 
-@query("f12_quote_ratio", "SELECT id, CASE WHEN q = '' THEN NULL WHEN contains(s, q) THEN 1.0 ELSE len(list_filter(list_filter(string_split(q, ' '), lambda x: length(x) > 3), lambda x: contains(s, x))) / nullif(len(list_filter(string_split(q, ' '), lambda x: length(x) > 3)), 0) END AS ratio FROM (SELECT id, trim(regexp_replace(lower(evidence), '\\s+', ' ', 'g')) AS q, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS s FROM sc WHERE evidence IS NOT NULL AND text IS NOT NULL)")
+@query("f12_quote_ratio", "SELECT id, CASE WHEN q = '' THEN NULL WHEN contains(s, q) THEN 1.0 ELSE len(list_filter(list_filter(string_split(q, ' '), lambda x: length(x) > 3), lambda x: contains(s, x))) / nullif(len(list_filter(string_split(q, ' '), lambda x: length(x) > 3)), 0) END AS ratio FROM (SELECT id, trim(regexp_replace(lower(evidence), '[\\s\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g')) AS q, trim(regexp_replace(lower(text), '[\\s\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g')) AS s FROM sc WHERE evidence IS NOT NULL AND text IS NOT NULL)")
 def f12(spark, d):
     s = scored(spark, d).filter("evidence is not null and text is not null")
     return s.select("id", P.quote_ratio(F.col("evidence"), F.col("text")).alias("ratio"))
