@@ -109,10 +109,10 @@ def normalize(df: DataFrame, text: str) -> DataFrame:
     Null values have a null form and are neither irregular nor changed; empty and blank texts become empty; very long texts are done whole.
     All rows stay, repeated ones too. If df has columns of these names already they are replaced.
     """
-    kept = df.drop(*[c for c in ("canonical", "irregular", "changed") if c != text])
-    value = F.col(f"`{text}`")
+    kept = df.withColumn("__value", F.col(f"`{text}`")).drop("canonical", "irregular", "changed")
+    value = F.col("__value")
     plain = value.rlike(PLAIN)
     out = kept.withColumn("__n", _normalized(F.when(~plain, value)))  # plain values reach Python as nulls
     form = F.when(plain, F.regexp_replace(_plain_form(value), r"^\n+|\n+$", "")).otherwise(F.col("__n.canonical"))
     odd = F.when(plain, F.lit(False)).otherwise(F.coalesce(F.col("__n.irregular"), F.lit(False)))
-    return out.withColumns({"__form": form, "__odd": F.coalesce(odd, F.lit(False))}).withColumns({"changed": F.coalesce(F.col("__odd") & (F.col("__form") != _plain_form(value)), F.lit(False))}).drop("__n").withColumnsRenamed({"__form": "canonical", "__odd": "irregular"})
+    return out.withColumns({"__form": form, "__odd": F.coalesce(odd, F.lit(False))}).withColumns({"changed": F.coalesce(F.col("__odd") & (F.col("__form") != _plain_form(value)), F.lit(False))}).drop("__n", "__value").withColumnsRenamed({"__form": "canonical", "__odd": "irregular"})
