@@ -22,6 +22,7 @@ def build(keys: DataFrame, *names: str, items: int | None = None, fpp: float = 0
     """The serialised filter of the non-null keys in `names`; an empty table gives a filter that holds nothing."""
     hashed = keys.na.drop(subset=list(names)).select(key_hash(*[F.col(f"`{n}`") for n in names]).alias("h"))
     n = hashed.count() if items is None else items
+    hashed = hashed.unionByName(keys.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("h")))  # the aggregate knows no empty filter
     java = hashed._jdf.stat().bloomFilter("h", max(1000, min(n, MAX_ITEMS)), fpp)
     out = keys.sparkSession._jvm.java.io.ByteArrayOutputStream()
     java.writeTo(out)

@@ -26,6 +26,12 @@ def _digests(df: DataFrame, key: str, columns: list[str], side: int) -> DataFram
     return df.select(F.col(f"`{key}`").alias("k"), _row_hash(columns, 1).alias("h1"), _row_hash(columns, 2).alias("h2")).distinct().withColumn("side", F.lit(side))
 
 
+def _plain(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with map columns as sorted entries in text, which have a hash and an order."""
+    maps = {f.name: F.to_json(F.array_sort(F.map_entries(F.col(f"`{f.name}`")))) for f in df.schema if f.name in columns and f.dataType.typeName() == "map"}
+    return df.withColumns(maps) if maps else df
+
+
 def _checksums(df: DataFrame, by: str) -> DataFrame:
     return df.groupBy(by).agg(F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"), F.sum("n").alias("n"))
 
@@ -54,6 +60,7 @@ def differences(left: DataFrame, right: DataFrame, key: str, only_left: str, onl
     An empty side makes all keys of the other missing. The key must be an integer; other keys are hashed by the caller.
     """
     columns = [c for c in left.columns if c in right.columns and c != key]
+    left, right = _plain(left, columns), _plain(right, columns)
     ids = cut(differing_keys(left, right, key, columns))
     held = bloom.build(ids, "k")
 
