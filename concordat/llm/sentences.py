@@ -121,7 +121,7 @@ def context(text: str, start: int, mark: int, end: int, after: int) -> tuple:
     sign = "dots" if end - mark > 1 and text[mark : mark + 2] in ("..", "……") or sign == "…" else "stop" if sign == "." else "semi" if sign in ";;" else "strong"
     shape = _shape(token)
     determined = shape == "number" and head[:cut].rstrip().rpartition(" ")[2].rpartition("\n")[2].lower() in _DETERMINERS
-    if kind in ("title", "reference"):
+    if kind != "word":
         shape = "abbreviation"  # what is known of these words says nothing of unknown ones of their shape
     gap = "none" if after == end else "line" if "\n" in text[end:after] else "blank"
     if gap == "line" and text.count("\n", end, after) > 1:
@@ -186,6 +186,8 @@ class Classifier:
 
 #: Built-in reliable examples, so that a small or empty corpus has a classifier too.
 EXAMPLES = (
+    "The members decided. They agreed quickly. Everyone spoke. Nothing changed. Later they returned. Some objected! Others asked why? Finally they voted. Votes were counted. Results followed. People waited outside. Rain began falling.\n\nStill they waited.",
+    "Les membres décident. Ensuite elles votent. Personne ne parle. Tout change. Die Mitglieder entscheiden. Danach stimmen alle. Niemand spricht. Alles endet. Los miembros deciden. Después votan. Nadie habla. Todo cambia.\n\nЧленовете решават. После гласуват. Τα μέλη αποφασίζουν. Μετά ψηφίζουν.",
     "The committee met in 2014. It adopted the report by Dr. Stone, etc. and left at 10.30 a.m. under protest.\n\nSee Art. 5 and p. 7. Mr. Reed agreed! Why? Nobody knows, i.e. no one asked.",
     "They took it all in a day.\n\nWe saw 5.\n\nAsk Bob.\n\nIt was in 2014.\n\nHe met her in May.\n\nShe counted 73.\n\nOne.\n\nIt is so.\n\nThe act is new.\n\nSee (a).\n\nIt grew by 5 %.\n\nThe rest of it is old, etc.\n\nAll end at 5 p.m.\n\nWho did it?\n\nNot us!\n\n",
     "Das gilt so.\n\nEs kam an.\n\nIch sah 12.\n\nC'est vu.\n\nOn a 25.\n\nYa fue.\n\nSon 7.\n\nИ ние.\n\nΝαι, το 5.\n\n",
