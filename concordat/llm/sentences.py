@@ -145,7 +145,7 @@ def reliable(key: tuple) -> int | None:
         return 0
     if script == "indic" and sign == "stop":
         return 0
-    if follows == "end" or gap == "paragraph" or (kind == "pause" and follows == "up") or (kind == "word" and shape == "long" and (follows in ("up", "open") or (sign == "strong" and follows == "letter") or (script == "arabic" and follows == "letter"))):
+    if follows == "end" or gap == "paragraph" or (kind == "pause" and follows == "up") or (kind == "word" and shape in ("long", "short") and (follows in ("up", "open") or (sign == "strong" and follows == "letter") or (script == "arabic" and follows == "letter"))):
         return 1
     return None
 
