@@ -31,32 +31,40 @@ def stance_score(stance: Column) -> Column:
     return score
 
 
+def stance_of(oppose: bool, aligned: bool, partial: bool, scrutiny: bool, deletion: bool, silent: bool, drafting: bool) -> tuple[str, float]:
+    """(stance, confidence) of the markers found. silent: the reference said nothing, so any request departs from the text."""
+    if oppose or deletion or (silent and scrutiny):
+        return "oppose", 0.45
+    if silent:
+        return ("partiel", 0.35) if drafting or partial else ("aligne", 0.40) if aligned else ("neutre", 0.25)
+    if aligned:
+        return ("partiel", 0.40) if partial else ("partiel", 0.35) if scrutiny else ("aligne", 0.45)
+    return ("partiel", 0.35) if partial else ("neutre", 0.25)
+
+
+#: The stance of each combination of markers, by the bits of its place.
+STANCES = [stance_of(*(bool(n >> bit & 1) for bit in range(7))) for n in range(128)]
+
+
 def lexical_stance(df: DataFrame, text: str, kind: Column, silent: Column) -> DataFrame:
     """df with stance, score, confidence, scrutiny, deletion and evidence by the markers in `text`.
 
     silent: whether the reference party said nothing on the item, so that any request departs from the text. kind: the contribution's kind.
-    Null texts have no stance and no score; blank ones are neutral. Evidence is the first line, at most 600 characters.
+    Null texts have no stance and no score; blank ones are neutral. Evidence is the first line, at most 600 characters. The markers found make one
+    number, by which the rest is looked up; so each pattern runs once, also where a filter on the score is pushed below.
     """
     t = F.col(text)
-    m = {n: any_of(t, p) for n, p in (("o", OPPOSE), ("a", ALIGNE), ("p", PARTIEL), ("s", SCRUTINY), ("d", DELETION))}
-    df = df.withColumns({f"__{n}": c for n, c in m.items()})
-    o, a, p, s, d = (F.col(f"__{n}") for n in "oapsd")
-    quiet = F.when(d | s | o, F.struct(F.lit("oppose"), F.lit(0.45))).when((F.coalesce(kind, F.lit("")) == "drafting") | p, F.struct(F.lit("partiel"), F.lit(0.35))).when(a, F.struct(F.lit("aligne"), F.lit(0.40))).otherwise(F.struct(F.lit("neutre"), F.lit(0.25)))
-    spoken = (
-        F.when(o | d, F.struct(F.lit("oppose"), F.lit(0.45)))
-        .when(a & p, F.struct(F.lit("partiel"), F.lit(0.40)))
-        .when(a & s, F.struct(F.lit("partiel"), F.lit(0.35)))
-        .when(a, F.struct(F.lit("aligne"), F.lit(0.45)))
-        .when(p, F.struct(F.lit("partiel"), F.lit(0.35)))
-        .otherwise(F.struct(F.lit("neutre"), F.lit(0.25)))
-    )
-    both = F.when(t.isNotNull(), F.when(silent, quiet).otherwise(spoken))
-    return (
-        df.withColumn("__both", both)
-        .withColumns({"lex_stance": F.col("__both.col1"), "lex_confidence": F.col("__both.col2"), "lex_scrutiny": s, "lex_deletion": d, "lex_evidence": F.substring(F.substring_index(F.trim(t), "\n", 1), 1, 600)})
-        .withColumn("lex_score", stance_score(F.col("lex_stance")))
-        .drop("__both", *[f"__{n}" for n in m])
-    )
+    bits = [any_of(t, p) for p in (OPPOSE, ALIGNE, PARTIEL, SCRUTINY, DELETION)] + [F.coalesce(silent, F.lit(False)), F.coalesce(kind, F.lit("")) == "drafting"]
+    code = F.lit(0)
+    for n, bit in enumerate(bits):
+        code = code + F.when(bit, F.lit(1 << n)).otherwise(F.lit(0))
+    df = df.withColumn("__code", F.when(t.isNotNull(), code))
+    look = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("__code") + 1)
+    return df.withColumns({
+        "lex_stance": look([s for s, _ in STANCES]), "lex_confidence": look([c for _, c in STANCES]), "lex_score": look([SCORES.get(s) for s, _ in STANCES]),
+        "lex_scrutiny": F.col("__code").bitwiseAND(8) > 0, "lex_deletion": F.col("__code").bitwiseAND(16) > 0,
+        "lex_evidence": F.substring(F.substring_index(F.trim(t), "\n", 1), 1, 600),
+    }).drop("__code")
 
 
 def quote_ratio(quote: Column, source: Column) -> Column:
