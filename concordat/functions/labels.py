@@ -83,10 +83,14 @@ def match_key(label: Column) -> Column:
     return F.when(number == "", F.lower(F.trim(text))).otherwise(F.concat(kind, F.lit("_"), number))
 
 
+# Words that a heading of a provision does not hold.
+NO_HEADING = r"(?i)\b(?:shall|means|the commission|il est|le présent|for the purposes)\b"
+
+
 def subject(text: Column, longest: int = 90) -> Column:
     """The heading of a provision: the first of its first three lines that reads like one; '' if none does."""
     lines = F.slice(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != ""), 1, 3)
-    fits = lambda x: ~x.rlike(r"(?i)^article\s+") & (F.char_length(x) <= longest) & ~x.endswith(".") & ~x.rlike(r"(?i)\b(?:shall|means|the commission|il est|le présent|for the purposes)\b") & (F.char_length(F.regexp_replace(x, r"\D", "")) <= F.char_length(x) / 3)
+    fits = lambda x: ~x.rlike(r"(?i)^article\s+") & (F.char_length(x) <= longest) & ~x.endswith(".") & ~x.rlike(NO_HEADING) & (F.char_length(F.regexp_replace(x, r"\D", "")) <= F.char_length(x) / 3)
     return F.coalesce(F.try_element_at(F.filter(lines, fits), F.lit(1)), F.lit(""))
 
 

@@ -13,9 +13,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 K1, B = 1.2, 0.75
-# Accented letters of Latin script and what they become, place by place.
-ACCENTED = "àáâãäåāăąçćčďèéêëēėęěğìíîïīįıłñńňòóôõöøōőŕřśšşșťțţùúûüūůűųýÿźżž"
-PLAIN = "aaaaaaaaacccdeeeeeeeegiiiiiiilnnnoooooooorrssssttt" + "uuuuuuuuyyzzz"
+#: Letters that are a Latin letter with accents, and that letter, place by place.
+_BASES = {c: unicodedata.normalize("NFD", c) for c in map(chr, [*range(0xE0, 0x250), *range(0x1E00, 0x1F00)]) if c.islower()}
+ACCENTED = "".join(c for c, d in _BASES.items() if len(d) > 1 and d[0].isascii() and all(map(unicodedata.combining, d[1:])))
+PLAIN = "".join(_BASES[c][0] for c in ACCENTED)
 # Words that a question is not searched for.
 STOP = frozenset("les des une que qui quoi quel quelle quels quelles dans pour par sur avec sans sous est sont ont ete etre aux ces cette cet leur leurs nous vous ils elles mais donc car comme plus the and for with from that this these those what which who are was were has have been not but into over under their its about ont parle parlent dit disent".split())
 
