@@ -99,11 +99,7 @@ def heavy_values(df: DataFrame, keys: list[str], id_col: str, text_col: str, sha
     found = None
     for key in keys:
         counts = per_key(df, key, id_col, text_col)
-        total = counts.agg(F.sum("n_rows").alias("total"))
-        one = (
-            counts.crossJoin(F.broadcast(total))  # the total is one row
-            .filter(F.col(f"`{key}`").isNotNull() & (F.col("n_rows") >= F.col("total") * F.lit(share)))
-            .select(F.lit(key).alias("field_name"), F.col(f"`{key}`").cast("string").alias("key_value"))
-        )
+        total = counts.agg(F.sum("n_rows")).scalar()
+        one = counts.filter(F.col(f"`{key}`").isNotNull() & (F.col("n_rows") >= total * F.lit(share))).select(F.lit(key).alias("field_name"), F.col(f"`{key}`").cast("string").alias("key_value"))
         found = one if found is None else found.unionByName(one)
     return found

@@ -15,8 +15,7 @@ STATES_SHARE, POPULATION_SHARE, BLOCKING_STATES, MEMBERS = 0.55, 0.65, 4, 27
 
 def shares(populations: DataFrame, party: str, weight: str) -> DataFrame:
     """(party, weight, share of the total)."""
-    total = populations.agg(F.sum(weight).alias("__t"))
-    return populations.crossJoin(F.broadcast(total)).select(F.col(party).alias("party"), F.col(weight).alias("weight"), (F.col(weight) / F.col("__t")).alias("share"))  # the total is one row
+    return populations.select(F.col(party).alias("party"), F.col(weight).alias("weight"), (F.col(weight) / populations.agg(F.sum(weight)).scalar()).alias("share"))
 
 
 def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -63,7 +62,8 @@ def majority(sides: DataFrame, weights: DataFrame) -> DataFrame:
 
 def additions(base: DataFrame, candidates: DataFrame, weights: DataFrame) -> DataFrame:
     """Each candidate outside the base with the group's states and share if it joined, and what the group would then be."""
-    whole = base.join(weights, "party", "left").agg(F.count(F.lit(1)).alias("n0"), F.coalesce(F.sum("share"), F.lit(0.0)).alias("share0"))
-    out = candidates.join(base, "party", "left_anti").join(weights, "party", "left").crossJoin(F.broadcast(whole))  # the base as one row
+    held = base.join(weights, "party", "left")
+    out = candidates.join(base, "party", "left_anti").join(weights, "party", "left")
+    out = out.withColumns({"n0": held.agg(F.count(F.lit(1))).scalar(), "share0": held.agg(F.coalesce(F.sum("share"), F.lit(0.0))).scalar()})
     n, s = F.col("n0") + 1, F.col("share0") + F.coalesce("share", F.lit(0.0))
     return out.select("party", F.coalesce("share", F.lit(0.0)).alias("share"), n.alias("n_with"), s.alias("share_with"), ((n >= BLOCKING_STATES) & (s > 1 - POPULATION_SHARE)).alias("blocks"), ((n / MEMBERS >= STATES_SHARE) & (s >= POPULATION_SHARE)).alias("reaches"))

@@ -149,5 +149,5 @@ def kappa(df: DataFrame, one: str, two: str) -> DataFrame:
     cells = held.groupBy(F.col(one).alias("x"), F.col(two).alias("y")).agg(F.count(F.lit(1)).alias("n"))
     total = cells.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("x") == F.col("y"), F.col("n")).otherwise(0)).alias("same"))
     rows, cols = cells.groupBy("x").agg(F.sum("n").alias("nx")), cells.groupBy("y").agg(F.sum("n").alias("ny"))
-    chance = rows.join(cols, rows["x"] == cols["y"]).agg(F.coalesce(F.sum(F.col("nx") * F.col("ny")), F.lit(0)).alias("chance"))
-    return total.crossJoin(chance).select("total", (F.col("same") / F.col("total")).alias("observed"), F.when(F.col("chance") != F.col("total") * F.col("total"), (F.col("same") / F.col("total") - F.col("chance") / F.col("total") / F.col("total")) / (1 - F.col("chance") / F.col("total") / F.col("total"))).alias("kappa"))  # two rows of one each
+    chance = rows.join(cols, rows["x"] == cols["y"]).agg(F.coalesce(F.sum(F.col("nx") * F.col("ny")), F.lit(0)))
+    return total.withColumn("chance", chance.scalar()).select("total", (F.col("same") / F.col("total")).alias("observed"), F.when(F.col("chance") != F.col("total") * F.col("total"), (F.col("same") / F.col("total") - F.col("chance") / F.col("total") / F.col("total")) / (1 - F.col("chance") / F.col("total") / F.col("total"))).alias("kappa"))

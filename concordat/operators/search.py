@@ -72,11 +72,11 @@ def bm25(post: DataFrame, query: list[tuple[str, list[str], bool]]) -> DataFrame
     if not query:
         return post.select("doc", F.lit(0.0).alias("score")).limit(0)
     sizes = post.groupBy("doc").agg(F.count(F.lit(1)).alias("size"))
-    whole = sizes.agg(F.count(F.lit(1)).alias("docs"), F.avg("size").alias("mean_size"))
+    docs, mean = sizes.agg(F.count(F.lit(1))).scalar(), sizes.agg(F.avg("size")).scalar()
     tf = _frequencies(post, query)
     df = tf.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = df.crossJoin(F.broadcast(whole)).select("phrase", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"), "mean_size")  # a row per phrase, one of the corpus
+    weighed = df.withColumns({"docs": docs, "mean_size": mean}).select("phrase", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"), "mean_size")  # a row per phrase of the query
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
     return tf.join(F.broadcast(weighed), "phrase").join(sizes, "doc").groupBy("doc").agg(F.sum(part).alias("score"))
 
