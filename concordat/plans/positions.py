@@ -258,9 +258,9 @@ def a36(spark, d):
     return _coded(spark, d).groupBy(F.col("two").alias("manual")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("one") == F.col("two")).cast("double")).alias("rate"))
 
 
-@query("a38_total_share", "SELECT sum(population) AS total, (0.35 * sum(population))::DOUBLE AS blocking_weight FROM populations")
+@query("a38_total_share", "SELECT sum(population) AS total, sum(population) * 35 / 100 AS blocking_weight FROM populations")
 def a38(spark, d):
-    return populations(spark, d).agg(F.sum("population").alias("total"), (F.sum("population") * 0.35).alias("blocking_weight"))
+    return populations(spark, d).agg(F.sum("population").alias("total"), (F.sum("population") * 35 / 100).alias("blocking_weight"))
 
 
 @query("a39_batch_counters", "SELECT model, method, count(*) AS n, count(*) FILTER (confidence <= 0) AS n_failed, avg(confidence) AS mean_confidence, median(confidence) AS median_confidence FROM an GROUP BY ALL")
