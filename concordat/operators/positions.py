@@ -59,7 +59,7 @@ def lexical_stance(df: DataFrame, text: str, kind: Column, silent: Column) -> Da
     for n, bit in enumerate(bits):
         code = code + F.when(bit, F.lit(1 << n)).otherwise(F.lit(0))
     df = df.withColumn("__code", F.when(t.isNotNull(), code))
-    look = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("__code") + 1)
+    look = lambda values: F.when(F.col("__code").isNotNull(), F.element_at(F.array(*[F.lit(v) for v in values]), F.coalesce("__code", F.lit(0)) + 1))
     return df.withColumns({
         "lex_stance": look([s for s, _ in STANCES]), "lex_confidence": look([c for _, c in STANCES]), "lex_score": look([SCORES.get(s) for s, _ in STANCES]),
         "lex_scrutiny": F.col("__code").bitwiseAND(8) > 0, "lex_deletion": F.col("__code").bitwiseAND(16) > 0,
