@@ -103,6 +103,11 @@ def _plain_form(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), " +", " "), " ?\n ?", "\n"))
 
 
+def plain_form(text: Column) -> Column:
+    """The same without line breaks at either end."""
+    return F.regexp_replace(_plain_form(text), r"^\n+|\n+$", "")
+
+
 def normalize(df: DataFrame, text: str) -> DataFrame:
     """df with `canonical` (the consistent form of column `text`), `irregular` and `changed` (the form differs from the value by more than case and runs of blanks).
 
@@ -113,6 +118,6 @@ def normalize(df: DataFrame, text: str) -> DataFrame:
     value = F.col("__value")
     plain = value.rlike(PLAIN)
     out = kept.withColumn("__n", _normalized(F.when(~plain, value)))  # plain values reach Python as nulls
-    form = F.when(plain, F.regexp_replace(_plain_form(value), r"^\n+|\n+$", "")).otherwise(F.col("__n.canonical"))
+    form = F.when(plain, plain_form(value)).otherwise(F.col("__n.canonical"))
     odd = F.when(plain, F.lit(False)).otherwise(F.coalesce(F.col("__n.irregular"), F.lit(False)))
     return out.withColumns({"__form": form, "__odd": F.coalesce(odd, F.lit(False))}).withColumns({"changed": F.coalesce(F.col("__odd") & (F.col("__form") != _plain_form(value)), F.lit(False))}).drop("__n", "__value").withColumnsRenamed({"__form": "canonical", "__odd": "irregular"})

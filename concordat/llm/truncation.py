@@ -1,8 +1,9 @@
 """Values that lost their tail.
 
 Three proofs, strongest first:
-- `prefix`: the value (without marks left by the cut) is a strict prefix of a longer value elsewhere. All distinct values are range-sorted, where a value's
-  extensions follow it directly, so one pass over sorted partitions compares neighbours; no pair of values is joined and no prefix group meets in one task.
+- `prefix`: the value is a strict prefix of another, longer value. Both are compared by their keys (consistent form without the marks of a cut and without
+  closing punctuation), so that no value extends itself or another one by a mark alone. All distinct keys are range-sorted, where a key's extensions follow
+  it directly, so one pass over sorted partitions compares neighbours; no pair of values is joined and no prefix group meets in one task.
 - `source`: the value is a quotation and its source goes on within the sentence where the value stops.
 - `ending`: no longer copy is stored anywhere, but the value stops without the end of a sentence and is no short answer that other records give too.
 """
@@ -15,16 +16,17 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from concordat.functions import bloom
-from concordat.llm.normalize import canonical
+from concordat.functions import bloom, lineage
+from concordat.llm.normalize import PLAIN, canonical, plain_form
 
 #: Words of a short answer at most; a longer value that recurs is not taken for complete because of that.
 SHORT_WORDS = 8
-_MARK = r"(?:\s|…|\.{2,}|�|&#?\w*;?|\[\s*$|\[?(?:\.{3}|…)\]?)+$"
+_MARK = r"(?:\s|…|\.{2,}+|�|&#?\w*;?|\[\s*$|\[?(?:\.{3}|…)\]?)+$"
 _ENDED = r"[.!?。！？؟।\u037e](?:\s*['\"”’»)\]])*\s*$"
 # Abbreviations that a sentence does not end with.
 _SHORTENED = r"(?i)(?:^|[\s(«“])(?:art|al|ann|cf|fig|p|pp|vol|no|nr|núm|pág|n|abs|anh|abb|s|sec|cap|dr|mr|mrs|ms|mme|m|st|i\.e|e\.g|z\.b|d\.h|p\. ex|bzw|approx|ca|vgl)\.\s*$"
 _TAIL = regex.compile(_MARK)
+_SIGNS = regex.compile(r"[^\p{L}\p{M}\p{N}]+$")
 _END = regex.compile(_ENDED)
 
 
@@ -40,10 +42,29 @@ def suspects(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.select(F.col(f"`{key}`").alias("id"), v.alias("value")).filter(F.col("value").isNotNull() & (F.trim("value") != "") & F.col("id").isNotNull() & ~ended).distinct()
 
 
-@F.pandas_udf(T.StructType([T.StructField("form", T.StringType()), T.StructField("stem", T.StringType())]))
-def _forms(values: pd.Series) -> pd.DataFrame:
-    """The consistent form, and that of the value without the marks of a cut."""
-    return pd.DataFrame({"form": [canonical(v) for v in values], "stem": [canonical(_TAIL.sub("", v)) for v in values]})
+_FORMS = T.StructType([T.StructField(name, T.StringType()) for name in ("form", "stem", "key")])
+
+
+def shape(value: str) -> tuple[str, str, str]:
+    """The consistent form of a value, that without the marks of a cut (stem), and the stem without punctuation at its end (key)."""
+    stem = canonical(_TAIL.sub("", value))
+    return canonical(value), stem, _SIGNS.sub("", stem)
+
+
+@F.pandas_udf(_FORMS)
+def _shapes(values: pd.Series) -> pd.DataFrame:
+    done = {v: shape(v) for v in values.dropna().unique()}
+    return pd.DataFrame([done.get(v, (None, None, None)) for v in values], columns=_FORMS.names)
+
+
+def shaped(df: DataFrame) -> DataFrame:
+    """df with `form`, `stem` and `key` of its column `value`; plain ASCII values by built-in functions."""
+    value = F.col("value")
+    plain = value.rlike(PLAIN)
+    bare = plain_form(F.regexp_replace(value, _MARK, ""))
+    built = (plain_form(value), bare, F.regexp_replace(bare, "[^a-z0-9]+$", ""))
+    out = df.withColumn("__n", _shapes(F.when(~plain, value)))  # plain values reach Python as nulls
+    return out.withColumns({name: F.when(plain, b).otherwise(F.col(f"__n.{name}")) for name, b in zip(_FORMS.names, built)}).drop("__n")
 
 
 def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,12 +137,12 @@ def find(df: DataFrame, key: str, column: str, source: DataFrame | None = None)
     with another key, of at most SHORT_WORDS words and without a mark of a cut, is a complete short answer; so is a value that is a whole text or whole sentence
     of its source. Rows repeated whole count once. Values of any length are compared whole.
     """
-    held = suspects(df, key, column).withColumn("f", _forms("value")).select("id", "value", "f.form", "f.stem").filter(F.col("stem") != "")
+    held = lineage.cut(shaped(suspects(df, key, column)).filter(F.col("stem") != ""))
     words = F.size(F.split("form", r"\s+"))
     answers = held.filter((words <= SHORT_WORDS) & (F.col("form") == F.col("stem"))).groupBy("form").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("form", F.lit(True).alias("stock"))
-    values = df.select(F.lower(F.col(f"`{column}`")).alias("v")).filter(F.col("v").isNotNull()).distinct()
-    longer = extended(held.select(F.col("stem").alias("v")).distinct(), values).select(F.col("v").alias("stem"), F.lit(True).alias("longer"))
-    got = held.join(answers, "form", "left").join(longer, "stem", "left")
+    values = shaped(df.select(F.col(f"`{column}`").alias("value")).filter(F.col("value").isNotNull()).distinct()).select(F.col("key").alias("v")).distinct()
+    longer = extended(held.select(F.col("key").alias("v")).filter(F.col("v") != "").distinct(), values).select(F.col("v").alias("key"), F.lit(True).alias("longer"))
+    got = held.join(answers, "form", "left").join(longer, "key", "left")
     if source is not None:
         near = bloom.build(held.select("id").distinct(), "id", items=bloom.MAX_ITEMS // 4)
         text = source.select(F.col(source.columns[0]).alias("id"), F.col(source.columns[1]).alias("source")).filter(bloom.might_contain(source, near, bloom.key_hash(F.col("id")))).distinct()

@@ -90,6 +90,20 @@ def test_prefixes_against_brute_force(spark):
     assert got == {x for x in pool if any(y != x and y.startswith(x) for y in pool)}
 
 
+def test_no_value_extends_itself(spark):
+    data = [(1, "Stored once, then lost …"), (2, "A blank behind it "), (3, "Cut by […]"), (4, "Held twice, cut here…"), (5, "held twice, cut here..."), (6, "Lacks its stop"), (7, "Lacks its stop."), (8, "Weiß auf schw"), (9, "weiß auf schwarz."), (10, "The ca…"), (11, "The café."), (12, "-"), (13, "Dots ...... 5 and")]
+    df = spark.createDataFrame(data, "id bigint, v string")
+    got = {r["id"]: r["proof"] for r in truncation.find(df, "id", "v").collect()}
+    assert {k for k, proof in got.items() if proof == "prefix"} == {8, 10}
+    assert {1, 2, 3, 4, 5} <= set(got)
+
+
+def test_forms_of_plain_values_are_those_of_the_others(spark):
+    values = ["Foo  Bar ...", " a\n b &am", "[", "x [...]", "(See)  [ ", "Ends.\"\n", "..", "…", "é [", "1. A", "\n\nA\n", "a" + "." * 200 + " b", "A.....]"]
+    got = {r["value"]: (r["form"], r["stem"], r["key"]) for r in truncation.shaped(spark.createDataFrame([(v,) for v in values], "value string")).collect()}
+    assert got == {v: truncation.shape(v) for v in values}
+
+
 def test_leaks_table(spark):
     p = " ".join(f"word{n}" for n in range(30))
     docs = spark.createDataFrame([(1, "x " + p, 0), (1, "x " + p, 0), (2, None, 0), (3, "", 0), (4, " ".join(p.split()[5:22]), 0)], "doc_id bigint, text string, key int")
