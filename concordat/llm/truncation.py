@@ -5,7 +5,8 @@ Three proofs, strongest first:
   closing punctuation), so that no value extends itself or another one by a mark alone. All distinct keys are range-sorted, where a key's extensions follow
   it directly, so one pass over sorted partitions compares neighbours; no pair of values is joined and no prefix group meets in one task.
 - `source`: the value is a quotation and its source goes on within the sentence where the value stops.
-- `ending`: no longer copy is stored anywhere, but the value stops without the end of a sentence and is no short answer that other records give too.
+- `ending`: no longer copy is stored anywhere, but the value stops without the end of a sentence and is no stock answer (short, without a mark, given by at least two records and one in STOCK_ONE_IN).
+A stock answer that longer values extend is none if they are all one text, stored in several lengths.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from concordat.llm.normalize import PLAIN, canonical, plain_form
 
 #: Words of a short answer at most; a longer value that recurs is not taken for complete because of that.
 SHORT_WORDS = 8
+#: A short value is a stock answer where at least one record in so many gives it (measured on sf0.1: stock answers 1 in 300 or more, coinciding cuts none).
+STOCK_ONE_IN = 2_000
 _MARK = r"(?:\s|…|\.{2,}+|�|&#?\w*;?|\[\s*$|\[?(?:\.{3}|…)\]?)+$"
 _ENDED = r"[.!?。！？؟।\u037e](?:\s*['\"”’»)\]])*\s*$"
 # Abbreviations that a sentence does not end with.
@@ -67,33 +70,51 @@ def shaped(df: DataFrame) -> DataFrame:
     return out.withColumns({name: F.when(plain, b).otherwise(F.col(f"__n.{name}")) for name, b in zip(_FORMS.names, built)}).drop("__n")
 
 
+_SEEN = "v string, kind string, asked boolean, hit boolean, branched boolean"
+
+
 def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Over a sorted partition: `hit` for a stem that the next value extends, and the partition's first and last value for the caller to compare across partitions."""
-    before, first, asked_before = None, True, False
+    """Over a sorted partition of (v, asked, hit, branched): `hit` for each asked value that later ones extend, branched where these are not all prefixes of one another.
+
+    As `end` come the values that decide what goes on across partitions: the first, the last, the first two of which the second does not extend the first,
+    and the asked ones that the last value extends or is, with what is known of them.
+    """
+    before, parted = None, False
+    held: list[list] = []  # asked prefixes of the value before, each one a prefix of the next
     for frame in batches:
         out = []
-        for value, asked in zip(frame["v"], frame["asked"]):
-            if first:
-                out.append((value, "first", False))
-                first = False
-            elif asked_before and value.startswith(before):
-                out.append((before, "hit", True))
-            before, asked_before = value, bool(asked)
-        yield pd.DataFrame(out, columns=["v", "kind", "asked"])
+        for value, asked, hit, branched in zip(frame["v"], frame["asked"], frame["hit"], frame["branched"]):
+            onward = before is None or value.startswith(before)
+            if before is None:
+                out.append((value, "end", False, False, False))
+            elif not onward and not parted:
+                out.extend((v, "end", False, False, False) for v in (before, value))
+                parted = True
+            while held and not value.startswith(held[-1][0]):
+                v, h, b = held.pop()
+                if h:
+                    out.append((v, "hit", True, True, b))
+            for h in reversed(held):
+                if h[1] and (onward or h[2]):
+                    break
+                h[1], h[2] = True, h[2] or not onward
+            if asked:
+                held.append([value, bool(hit), bool(branched)])
+            before = value
+        yield pd.DataFrame(out, columns=["v", "kind", "asked", "hit", "branched"])
     if before is not None:
-        yield pd.DataFrame([(before, "last", asked_before)], columns=["v", "kind", "asked"])
+        yield pd.DataFrame([(before, "end", False, False, False), *((v, "end", True, h, b) for v, h, b in held)], columns=["v", "kind", "asked", "hit", "branched"])
 
 
 def extended(stems: DataFrame, values: DataFrame) -> DataFrame:
-    """Distinct `v` of stems that are a strict prefix of some longer value of either table (column `v` each)."""
+    """(v, branched) of the distinct stems that are a strict prefix of some longer value of either table (column `v` each); branched: of several that go on differently."""
     every = stems.select("v", F.lit(True).alias("asked")).unionByName(values.select("v", F.lit(False).alias("asked"))).groupBy("v").agg(F.max("asked").alias("asked"))
+    every = every.withColumns({"hit": F.lit(False), "branched": F.lit(False)})
     parts = max(1, int(stems.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    seen = every.repartitionByRange(parts, "v").sortWithinPartitions("v").mapInPandas(_neighbours, "v string, kind string, asked boolean")
-    from pyspark.sql import Window
-
-    ends = seen.filter(F.col("kind") != "hit").groupBy("v").agg(F.max("asked").alias("asked"))  # two values a partition
-    across = ends.withColumn("after", F.lead("v").over(Window.orderBy("v"))).filter(F.col("asked") & F.col("after").startswith(F.col("v")))
-    return seen.filter(F.col("kind") == "hit").select("v").unionByName(across.select("v")).distinct()
+    seen = every.repartitionByRange(parts, "v").sortWithinPartitions("v").mapInPandas(_neighbours, _SEEN)
+    ends = seen.filter(F.col("kind") == "end").groupBy("v").agg(*(F.max(c).alias(c) for c in ("asked", "hit", "branched")))  # a few values a partition
+    across = ends.repartition(1).sortWithinPartitions("v").mapInPandas(_neighbours, _SEEN).filter("hit")
+    return seen.filter(F.col("kind") == "hit").select("v", "branched").unionByName(across.select("v", "branched")).distinct()
 
 
 @F.pandas_udf(T.StringType())
@@ -133,32 +154,37 @@ def _closes(text: str, end: int, value: str) -> bool:
 def find(df: DataFrame, key: str, column: str, source: DataFrame | None = None) -> DataFrame:
     """(id, field_name, value, proof) of the truncated distinct values of `column`.
 
-    source: (id, text), the text that the value of this id quotes. Null, empty and blank values and rows with a null key are no case. A value that recurs
-    with another key, of at most SHORT_WORDS words and without a mark of a cut, is a complete short answer; so is a value that is a whole text or whole sentence
-    of its source. Rows repeated whole count once. Values of any length are compared whole.
+    source: (id, text), the text that the value of this id quotes. Null, empty and blank values and rows with a null key are no case. A value that is a
+    whole text or whole sentence of its source is complete. So is a stock answer: of at most SHORT_WORDS words, without a mark of a cut, and given by at least
+    two keys and one in STOCK_ONE_IN, unless longer values extend it that are all one text. What the text alone cannot tell: a cut as frequent as that of which
+    no longer value is stored, or of which several that go on differently are, passes for a stock answer, and a rarer short answer for a cut.
+    Rows repeated whole count once. Values of any length are compared whole.
     """
     held = lineage.cut(shaped(suspects(df, key, column)).filter(F.col("stem") != ""))
     words = F.size(F.split("form", r"\s+"))
-    answers = held.filter((words <= SHORT_WORDS) & (F.col("form") == F.col("stem"))).groupBy("form").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("form", F.lit(True).alias("stock"))
+    often = held.filter((words <= SHORT_WORDS) & (F.col("form") == F.col("stem"))).groupBy("form").agg(F.count_distinct("id").alias("n")).filter("n > 1")
+    total = df.filter(F.trim(F.col(f"`{column}`")) != "").agg(F.count_distinct(F.col(f"`{key}`")).alias("total"))
+    answers = often.filter(F.col("n") * STOCK_ONE_IN >= total.scalar()).select("form", F.lit(True).alias("stock"))
     values = shaped(df.select(F.col(f"`{column}`").alias("value")).filter(F.col("value").isNotNull()).distinct()).select(F.col("key").alias("v")).distinct()
-    longer = extended(held.select(F.col("key").alias("v")).filter(F.col("v") != "").distinct(), values).select(F.col("v").alias("key"), F.lit(True).alias("longer"))
-    got = held.join(answers, "form", "left").join(longer, "key", "left")
+    goes_on = extended(held.select(F.col("key").alias("v")).filter(F.col("v") != "").distinct(), values).select(F.col("v").alias("key"), F.lit(True).alias("longer"), "branched")
+    got = held.join(answers, "form", "left").join(goes_on, "key", "left")
     if source is not None:
-        near = bloom.build(held.select("id").distinct(), "id", items=bloom.MAX_ITEMS // 4)
+        ids = held.select("id").distinct()
+        near = bloom.build(ids, "id", items=min(ids.count(), bloom.MAX_ITEMS // 4))  # no larger than needed: every plan's description spells the filter out
         text = source.select(F.col(source.columns[0]).alias("id"), F.col(source.columns[1]).alias("source")).filter(bloom.might_contain(source, near, bloom.key_hash(F.col("id")))).distinct()
         got = got.join(text, "id", "left").withColumn("verdict", _in_source("stem", "form", "source"))
     else:
         got = got.withColumn("verdict", F.lit(None).cast("string"))
-    stock = F.coalesce("stock", F.lit(False))
+    longer = F.coalesce("longer", F.lit(False))
+    stock = F.coalesce("stock", F.lit(False)) & (~longer | F.col("branched"))
     proof = (
         F.when(F.col("verdict") == "whole", None)
-        .when(F.col("verdict") == "cut", "source")
+        .when(F.col("verdict") == "cut", F.when(longer, "prefix").otherwise("source"))
         .when(stock, None)
-        .when(F.coalesce("longer", F.lit(False)), "prefix")
+        .when(longer, "prefix")
         .otherwise("ending")
     )
-    both = F.when((F.col("verdict") == "cut") & F.coalesce("longer", F.lit(False)), "prefix").otherwise(proof)
-    return got.select("id", F.lit(column).alias("field_name"), "value", both.alias("proof")).filter(F.col("proof").isNotNull()).distinct()
+    return got.select("id", F.lit(column).alias("field_name"), "value", proof.alias("proof")).filter(F.col("proof").isNotNull()).distinct()
 
 
 def shares(df: DataFrame, key: str, columns: list[str], by: str, source: dict[str, DataFrame]) -> DataFrame:

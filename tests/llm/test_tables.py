@@ -104,6 +104,25 @@ def test_forms_of_plain_values_are_those_of_the_others(spark):
     assert got == {v: truncation.shape(v) for v in values}
 
 
+def test_short_cuts_that_coincide(spark):
+    hot, whole = "The board shall adopt the", "The board shall adopt the annual report before the next meeting."
+    values = [hot] * 30 + [whole] * 30 + ["Under scrutiny"] * 9 + ["Under scrutiny by the Council.", "Under scrutiny until the next meeting."] + ["Held twice and cut wi"] * 2 + ["Not twice"] + [f"Comment number {n} ends here." for n in range(5000)]
+    df = spark.createDataFrame(list(enumerate(values)), "id bigint, v string")
+    got = {(r["value"], r["proof"]) for r in truncation.find(df, "id", "v").collect()}
+    assert got == {(hot, "prefix"), ("Held twice and cut wi", "ending"), ("Not twice", "ending")}
+    assert truncation.find(df, "id", "v").count() == 33
+
+
+def test_branches_against_brute_force(spark):
+    r = random.Random(4)
+    for alphabet, most in (("ab", 9), ("a", 40)):
+        pool = ["".join(r.choice(alphabet) for _ in range(r.randrange(1, most))) for _ in range(250)]
+        asked = pool[:120] + ["a"]
+        got = {x["v"]: x["branched"] for x in truncation.extended(*(spark.createDataFrame([(x,) for x in p], "v string") for p in (asked, pool))).collect()}
+        longer = {x: [y for y in {*pool, *asked} if y != x and y.startswith(x)] for x in asked}
+        assert got == {x: any(not b.startswith(a) and not a.startswith(b) for a in ys for b in ys) for x, ys in longer.items() if ys}
+
+
 def test_leaks_table(spark):
     p = " ".join(f"word{n}" for n in range(30))
     docs = spark.createDataFrame([(1, "x " + p, 0), (1, "x " + p, 0), (2, None, 0), (3, "", 0), (4, " ".join(p.split()[5:22]), 0)], "doc_id bigint, text string, key int")
