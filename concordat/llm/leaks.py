@@ -2,13 +2,15 @@
 
 Passages and texts are reduced to their letters and digits alone (compatibility form, full case folding, no accents, blanks, punctuation or invisible
 characters), so spacing, hyphenation and line breaks cannot hide a copy. One Aho-Corasick automaton holds every run of SEED words of every
-passage; each text is scanned once. Where a passage has enough seeds in a text, the two are aligned word by word from a seed to both sides, passing
-over single words that differ, and the longest stretch within the tolerance is kept, with its offsets in the original text.
+passage; each text is scanned once. Where a passage has enough seeds in a text, the two are compared word by word in two ways: at the fixed distance of every
+seed, which is exact for words replaced one by one, and from a seed to both sides, passing over words that differ, are missing, added or written apart.
+The longest stretch within the tolerance is kept, with its offsets in the original text.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,9 +27,12 @@ SEED, MIN_SEEDS = 6, 3
 BLOCK = 5_000
 _WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 _SIGNS = regex.compile(r"[^\p{L}\p{N}]+")
+_APART = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
 _HIDDEN = regex.compile(r"[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
 #: Characters of a text within which the next words of the passage are looked for after a difference.
 REACH = 40
+#: Words that may differ one after another where the alignment resumes.
+MOST_MISSES = 3
 
 
 def letters(text: str) -> str:
@@ -43,7 +48,7 @@ def words(text: str) -> list[str]:
     for w in _WORD.findall(_HIDDEN.sub("", unicodedata.normalize("NFKD", text))):
         w = letters(w)
         if w:
-            out.extend(w if regex.match(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]", w) else (w,))
+            out.extend(w if _APART.match(w) else (w,))
     return out
 
 
@@ -69,7 +74,51 @@ def _passages(items: tuple[tuple[int, str], ...], least: int) -> Passages:
     return Passages(items, least)
 
 
-def _onward(passage: list[str], p: int, text: str, d: int, step: int) -> list[tuple[bool, int, int, int]]:
+class Borders:
+    """For every letter kept its place in the original, and where words begin and end among the kept letters."""
+
+    def __init__(self, original: str):
+        self.place: list[int] = []
+        self.begin: list[int] = []
+        self.end: list[int] = []
+        inside = apart = False
+        for n, c in enumerate(original):
+            kept = _letters_of(c)
+            if kept:
+                if not inside:
+                    self.begin.append(len(self.place))
+                    apart = bool(_APART.match(kept))
+                elif apart:  # as in words()
+                    self.end.append(len(self.place))
+                    self.begin.append(len(self.place))
+                self.place.extend([n] * len(kept))
+                inside = True
+            elif inside and not regex.match(r"[\p{M}]", c) and not _HIDDEN.match(c):
+                self.end.append(len(self.place))
+                inside = False
+        if inside:
+            self.end.append(len(self.place))
+        self.begins, self.ends = {b: n for n, b in enumerate(self.begin)}, set(self.end)
+
+
+@lru_cache(maxsize=20_000)
+def _letters_of(char: str) -> str:
+    return letters(char)
+
+
+def _single(passage: list[str], p: int, text: str, d: int, step: int, borders: Borders) -> tuple[int, int, int] | None:
+    """(place in the passage, place in the text, words passed over) of the next passage word that stands whole in the text after as many other words."""
+    n = bisect_left(borders.begin, d) if step > 0 else bisect_right(borders.end, d) - 1
+    for skip in range(1, MOST_MISSES + 1):
+        q, m = p + step * skip, n + step * skip
+        if not (0 <= q < len(passage) and 0 <= m < len(borders.begin)):
+            return None
+        if text[borders.begin[m] : borders.end[m]] == passage[q]:
+            return q, borders.begin[m] if step > 0 else borders.end[m], skip
+    return None
+
+
+def _onward(passage: list[str], p: int, text: str, d: int, step: int, borders: Borders) -> list[tuple[bool, int, int, int]]:
     """(same, place in the passage, start, end in the text) of the words from p on, towards the end (step 1) or the start (step -1)."""
     out = []
     misses = 0
@@ -96,7 +145,8 @@ def _onward(passage: list[str], p: int, text: str, d: int, step: int) -> list[tu
                 at = at + len(probe) if at >= 0 else -1
             if at >= 0 and (found is None or abs(at - d) < abs(found[1] - d)):
                 found = (q, at, max(1, skip))
-        if found is None or misses + found[2] > 3:
+        found = found or _single(passage, p, text, d, step, borders)
+        if found is None or misses + found[2] > MOST_MISSES:
             break
         misses += found[2]
         out.extend((False, p, d, d) for _ in range(found[2]))
@@ -117,23 +167,13 @@ def _stretch(flow: list[tuple[bool, int, int, int]], least: int, one_in: int) ->
     return best
 
 
-def _borders(original: str) -> tuple[list[int], set[int], set[int]]:
-    """For every letter kept its place in the original, and where words begin and end among the kept letters."""
-    place: list[int] = []
-    begin, end = set(), set()
-    inside = False
-    for n, c in enumerate(original):
-        kept = letters(c)
-        if kept:
-            if not inside:
-                begin.add(len(place))
-            place.extend([n] * len(kept))
-            inside = True
-        elif inside and not regex.match(r"[\p{M}]", c) and not _HIDDEN.match(c):
-            end.add(len(place))
-            inside = False
-    end.add(len(place))
-    return place, begin, end
+def _abreast(passage: list[str], text: str, seeds: list[tuple[int, int]], borders: Borders) -> Iterator[list[tuple[bool, int, int, int]]]:
+    """As `_onward`, the passage against the words of the text at the distance of each seed that begins with a word."""
+    for shift in {borders.begins[d] - p for d, p in seeds if d in borders.begins}:
+        yield [
+            (text[borders.begin[p + shift] : borders.end[p + shift]] == passage[p], p, borders.begin[p + shift], borders.end[p + shift])
+            for p in range(max(0, -shift), min(len(passage), len(borders.begin) - shift))
+        ]
 
 
 def leaks(original: str, passages: Passages, least: int, one_in: int) -> list[tuple[int, int, int, int]]:
@@ -149,25 +189,26 @@ def leaks(original: str, passages: Passages, least: int, one_in: int) -> list[tu
         if len(seeds) < MIN_SEEDS:
             continue
         item, passage = passages.words[n]
-        best = None
+        borders = borders or Borders(original)
+        flows = list(_abreast(passage, text, seeds, borders))
         covered: list[tuple[int, int]] = []
         for d, p in seeds:
             if any(a <= d < b for a, b in covered):
                 continue
-            forth = _onward(passage, p, text, d, 1)
-            flow = _onward(passage, p - 1, text, d, -1)[::-1] + forth
+            forth = _onward(passage, p, text, d, 1, borders)
+            flows.append(_onward(passage, p - 1, text, d, -1, borders)[::-1] + forth)
             covered.append((d, max((x[3] for x in forth), default=d)))
+        best = None
+        for flow in flows:
             if sum(x[0] for x in flow) * one_in < least * (one_in - 1):
                 continue
-            borders = borders or _borders(original)
-            place, begin, end = borders
-            while flow and not (flow[0][0] and flow[0][2] in begin):
+            while flow and not (flow[0][0] and flow[0][2] in borders.begins):
                 flow.pop(0)
-            while flow and not (flow[-1][0] and flow[-1][3] in end):
+            while flow and not (flow[-1][0] and flow[-1][3] in borders.ends):
                 flow.pop()
             got = _stretch(flow, least, one_in)
             if got and (best is None or got[0] > best[0]):
-                best = (got[0], place[flow[got[1]][2]], place[flow[got[2]][3] - 1] + 1)
+                best = (got[0], borders.place[flow[got[1]][2]], borders.place[flow[got[2]][3] - 1] + 1)
         if best:
             out.append((item, *best))
     return out

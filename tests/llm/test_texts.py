@@ -110,6 +110,32 @@ def test_leaks():
     assert text[a:b] == PASSAGE.rstrip(".")
 
 
+def test_leaks_with_one_and_two_other_words_against_brute_force():
+    passage = [f"word{chr(97 + n // 26)}{chr(97 + n % 26)}" for n in range(60)]
+    held = leaks.Passages(((7, " ".join(passage)),), 16)
+    for size in (16, 17, 20, 21, 26, 33):
+        for first in range(1, size - 1):
+            for second in range(first, size - 1):  # the same one twice: one other word
+                part = passage[9 : 9 + size]
+                part[first] = part[second] = "changed"
+                same = [a == b for a, b in zip(part, passage[9:])]
+                most = max((b - a for a in range(size) for b in range(a + 16, size + 1) if same[a] and same[b - 1] and 10 * same[a:b].count(False) <= b - a), default=0)
+                text = " ".join(["Other", "words", "before", *part, "and", "others", "behind"])
+                got = leaks.leaks(text, held, 16, 10)
+                assert [n for _, n, _, _ in got] == [most] * bool(most), (size, first, second)
+
+
+def test_leaks_with_other_words_and_a_word_written_apart():
+    passage = [f"word{chr(97 + n // 26)}{chr(97 + n % 26)}" for n in range(60)]
+    held = leaks.Passages(((7, " ".join(passage)),), 16)
+    part = passage[9:25]
+    part[6], part[14] = part[6][:3] + "-\n" + part[6][3:], "changed"
+    assert [n for _, n, _, _ in leaks.leaks(" ".join(["Before", *part, "behind"]), held, 16, 10)] == [16]
+    part = passage[9:39]
+    part[13:16] = ["three", "other", "ones"]
+    assert [n for _, n, _, _ in leaks.leaks(" ".join(["Before", *part, "behind"]), held, 16, 10)] == [30]
+
+
 def test_token_counts_are_the_tokenizers():
     path = f"{mixture.TOKENIZERS}/{mixture.TOKENIZER}"
     count, encoding = mixture.counter(path), mixture._encoding(path)
