@@ -29,6 +29,7 @@ INVISIBLE = r"\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u20
 _SIGNS = regex.compile(f"[{FULL_WIDTH}{SPACES}{INVISIBLE}]")
 _INVISIBLE = regex.compile(f"[{INVISIBLE}]+")
 _SPACE = regex.compile(r"[^\S\n]+")
+_RUN = regex.compile(" +")
 _BREAK = regex.compile(r"[ ]*\n[ ]*")
 _CLUSTER = regex.compile(r"\p{L}\p{M}+")
 _FOREIGN = regex.compile(r"[\p{L}--[\p{Latin}\p{Common}\p{Inherited}]]", regex.V1)
@@ -80,22 +81,32 @@ def _unmix(match) -> str:
     return "".join(LOOK_ALIKE_CAPITAL.get(c) or LOOK_ALIKE.get(c) or (x.upper() if (x := LOOK_ALIKE.get(c.lower())) else c) for c in word)
 
 
+def _composed(text: str) -> str:
+    """The consistent form but for case and blanks."""
+    if text.isascii():
+        return text
+    text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
+    return _WORD.sub(_unmix, text) if _FOREIGN.search(text) else text
+
+
 def canonical(text: str, fold: bool = True) -> str:
     """The one consistent form of a text; with fold=False letters keep their case. Idempotent."""
-    if not text.isascii():
-        text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
-        if _FOREIGN.search(text):
-            text = _WORD.sub(_unmix, text)
+    text = _composed(text)
     if fold:
         text = text.casefold() if text.isascii() else unicodedata.normalize("NFKC", text.casefold())
     return _BREAK.sub("\n", _SPACE.sub(" ", text)).strip()
 
 
-@F.pandas_udf(T.StructType([T.StructField("canonical", T.StringType()), T.StructField("irregular", T.BooleanType())]))
+def changed(text: str) -> bool:
+    """Whether the consistent form differs from the text by more than case and runs of plain spaces."""
+    return canonical(text, fold=False) != _BREAK.sub("\n", _RUN.sub(" ", text)).strip(" \n")
+
+
+@F.pandas_udf(T.StructType([T.StructField("canonical", T.StringType()), T.StructField("irregular", T.BooleanType()), T.StructField("changed", T.BooleanType())]))
 def _normalized(values: pd.Series) -> pd.DataFrame:
-    done = {v: (canonical(v), irregular(v)) for v in values.dropna().unique()}
-    none = (None, None)
-    return pd.DataFrame([done.get(v, none) for v in values], columns=["canonical", "irregular"])
+    done = {v: (canonical(v), irregular(v), changed(v)) for v in values.dropna().unique()}
+    none = (None, None, None)
+    return pd.DataFrame([done.get(v, none) for v in values], columns=["canonical", "irregular", "changed"])
 
 
 def _plain_form(text: Column) -> Column:
@@ -109,7 +120,9 @@ def plain_form(text: Column) -> Column:
 
 
 def normalize(df: DataFrame, text: str) -> DataFrame:
-    """df with `canonical` (the consistent form of column `text`), `irregular` and `changed` (the form differs from the value by more than case and runs of blanks).
+    """df with `canonical` (the consistent form of column `text`), `irregular` and `changed` (the form differs from the value by more than case and runs of plain spaces).
+
+    The one does not depend on the other: fractions, ellipses, ligatures and superscripts are changed without being irregular.
 
     Null values have a null form and are neither irregular nor changed; empty and blank texts become empty; very long texts are done whole.
     All rows stay, repeated ones too. If df has columns of these names already they are replaced.
@@ -119,5 +132,5 @@ def normalize(df: DataFrame, text: str) -> DataFrame:
     plain = value.rlike(PLAIN)
     out = kept.withColumn("__n", _normalized(F.when(~plain, value)))  # plain values reach Python as nulls
     form = F.when(plain, plain_form(value)).otherwise(F.col("__n.canonical"))
-    odd = F.when(plain, F.lit(False)).otherwise(F.coalesce(F.col("__n.irregular"), F.lit(False)))
-    return out.withColumns({"__form": form, "__odd": F.coalesce(odd, F.lit(False))}).withColumns({"changed": F.coalesce(F.col("__odd") & (F.col("__form") != _plain_form(value)), F.lit(False))}).drop("__n", "__value").withColumnsRenamed({"__form": "canonical", "__odd": "irregular"})
+    flags = {name: F.when(plain, F.lit(False)).otherwise(F.coalesce(F.col(f"__n.{name}"), F.lit(False))) for name in ("irregular", "changed")}
+    return out.withColumns({"__form": form, **{f"__{name}": F.coalesce(flag, F.lit(False)) for name, flag in flags.items()}}).drop("__n", "__value").withColumnsRenamed({"__form": "canonical", "__irregular": "irregular", "__changed": "changed"})

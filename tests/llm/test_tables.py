@@ -67,6 +67,13 @@ def test_normalize_table(spark):
     assert [r["canonical"] for r in normalize.normalize(df.select(F.lit("Ａ").alias("canonical")).limit(1), "canonical").collect()] == ["a"]
 
 
+def test_changed_without_being_irregular(spark):
+    altered, same = ["Wait…", "½ of it", "5 m²", "ﬁne print"], ["Straße", "ΟΔΟΣ", "ΛΌΓΟΣ  ένας", " Été \n", "“Quoted”"]
+    df = spark.createDataFrame([(v,) for v in altered + same], "v string")
+    got = {r["v"]: (r["changed"], r["irregular"]) for r in normalize.normalize(df, "v").collect()}
+    assert got == {**{v: (True, False) for v in altered}, **{v: (False, False) for v in same}}
+
+
 def test_truncation_table(spark):
     full = "The board shall adopt the annual report before the next meeting."
     data = [
