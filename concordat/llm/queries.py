@@ -14,18 +14,18 @@ def _both(spark: SparkSession, d: str, operator) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def _p1(spark: SparkSession, d: str, table: str, shingle: int, threshold: float) -> neardup.NearDuplicates:
-    return neardup.NearDuplicates(load(spark, d, table), "id", "text", shingle, threshold, least_words=20)
+def _p1(spark: SparkSession, d: str, table: str, least_words: int) -> neardup.NearDuplicates:
+    return neardup.NearDuplicates(load(spark, d, table), "id", "text", 3, 0.55, least_words)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    parts = [_p1(spark, d, t, 3, 0.55).pairs().select(F.lit(t).alias("tbl"), "id_a", "id_b") for t in ("segments", "contributions")]
+    parts = [_p1(spark, d, t, 20).pairs().select(F.lit(t).alias("tbl"), "id_a", "id_b") for t in ("segments", "contributions")]
     return parts[0].unionByName(parts[1])
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Groups of texts with 0.8 of their five-word sequences in common, directly or through others."""
-    parts = [_p1(spark, d, t, 5, 0.8).groups().select(F.lit(t).alias("tbl"), "key", "group_id", "n_links") for t in ("segments", "contributions")]
+    """Groups of texts with 0.55 of their three-word sequences in common, directly or through others; of any length from three words, fewer have no sequence."""
+    parts = [_p1(spark, d, t, 0).groups().select(F.lit(t).alias("tbl"), "key", "group_id", "n_links") for t in ("segments", "contributions")]
     return parts[0].unionByName(parts[1])
 
 

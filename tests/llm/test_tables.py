@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from concordat.llm import leaks, mixture, neardup, normalize, sentences, split, truncation
+from concordat.llm import leaks, mixture, neardup, normalize, queries, sentences, split, truncation
 
 
 def rows(df):
@@ -51,6 +51,19 @@ def test_near_duplicates_of_nothing_and_of_copies(spark):
     assert neardup.NearDuplicates(df.limit(0), "id", "text").pairs().count() == 0
 
 
+def test_groups_of_the_query_have_its_own_setting(spark, tmp_path):
+    long = [f"w{n}" for n in range(40)]
+    near = long[:20] + ["other"] + long[21:30] + ["words"] + long[31:]
+    data = [(1, "Reservation on the whole article."), (2, "Reservation on the whole article."), (3, " ".join(long)), (4, " ".join(near)), (5, "Something else that stands alone here."), (6, "n/a"), (7, "n/a")]
+    assert 0.55 <= jaccard(data[2][1], data[3][1], 3) < 0.8
+    for t in ("segments", "contributions"):
+        spark.createDataFrame(data, "id bigint, text string").write.parquet(f"{tmp_path}/{t}.parquet")
+    got = {}
+    for r in queries.p1_groups(spark, str(tmp_path)).collect():
+        got.setdefault((r["tbl"], r["group_id"]), set()).add(r["key"])
+    assert sorted((t, sorted(ids)) for (t, _), ids in got.items()) == [(t, ids) for t in ("contributions", "segments") for ids in ([1, 2], [3, 4])]
+
+
 def test_split_table(spark):
     df = spark.createDataFrame([(1, "a. " * 2000, 0), (1, "a. " * 2000, 0), (2, "short", 0), (3, None, 0), (4, "x" * 2501, 0), (None, "b " * 3000, 0)], "id bigint, text string, piece int")
     got = split.split_oversized(df, "id", "text")
