@@ -1,8 +1,8 @@
 """Visually identical text with different characters, brought to one consistent form.
 
 The form is: compatibility normalisation, composed (NFKC), full case folding, every kind of blank as one plain space (line breaks stay),
-default-ignorable characters removed, and look-alike letters inside a word of two scripts mapped to the word's main script. Plain
-ASCII values are done by built-in functions alone; the others are normalised once per distinct value of an Arrow batch.
+default-ignorable characters removed, and look-alike letters inside a word of several scripts mapped to the one script that can write the word, Latin, Greek
+or Cyrillic alike. A word that two scripts can write goes to that with most of its letters, then to the text's main script. Plain ASCII values are done by built-in functions alone; the others are normalised once per distinct value of an Arrow batch.
 """
 
 from __future__ import annotations
@@ -14,13 +14,17 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-# Letters of Greek and Cyrillic that look like a Latin letter.
-LOOK_ALIKE = {
-    "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "ӏ": "l", "ԛ": "q", "ԝ": "w", "һ": "h", "ё": "ë", "ї": "ï",
-    "α": "a", "β": "b", "γ": "y", "ε": "e", "η": "n", "ι": "i", "κ": "k", "μ": "u", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ζ": "z", "ϲ": "c", "ϳ": "j",
-}
-#: Capitals whose look-alike differs from that of their small letter.
-LOOK_ALIKE_CAPITAL = {"В": "B", "Н": "H", "Η": "H", "Ν": "N", "Μ": "M", "Υ": "Y", "Χ": "X"}
+# Letters that look alike in Latin, Greek and Cyrillic, one letter of each script in a row (blank: the script has none).
+LOOK_ALIKE = [
+    ("A", "Α", "А"), ("B", "Β", "В"), ("C", "", "С"), ("E", "Ε", "Е"), ("F", "Ϝ", ""), ("G", "", "Ԍ"), ("H", "Η", "Н"), ("I", "Ι", "І"), ("J", "Ϳ", "Ј"), ("K", "Κ", "К"),
+    ("M", "Μ", "М"), ("N", "Ν", ""), ("O", "Ο", "О"), ("P", "Ρ", "Р"), ("Q", "", "Ԛ"), ("S", "", "Ѕ"), ("T", "Τ", "Т"), ("V", "", "Ѵ"), ("W", "", "Ԝ"), ("X", "Χ", "Х"), ("Y", "Υ", "У"), ("Z", "Ζ", ""),
+    ("", "Γ", "Г"), ("", "Λ", "Л"), ("", "Π", "П"), ("", "Φ", "Ф"),
+    ("a", "α", "а"), ("c", "", "с"), ("d", "", "ԁ"), ("e", "", "е"), ("h", "", "һ"), ("i", "ι", "і"), ("j", "ϳ", "ј"), ("k", "κ", "к"), ("l", "", "ӏ"), ("o", "ο", "о"), ("p", "ρ", "р"),
+    ("q", "", "ԛ"), ("s", "", "ѕ"), ("u", "υ", ""), ("v", "ν", "ѵ"), ("w", "", "ԝ"), ("x", "χ", "х"), ("y", "γ", "у"), ("", "π", "п"), ("", "φ", "ф"), ("", "τ", "т"),
+]
+MAPPED = ("Latin", "Greek", "Cyrillic")
+#: Per target script, its look-alike of each letter of the other two.
+_TO = {target: {row[k]: row[n] for row in LOOK_ALIKE for k in range(3) if k != n and row[n] and row[k]} for n, target in enumerate(MAPPED)}
 
 FULL_WIDTH = r"\uff01-\uff60\uffe0-\uffe6"
 SPACES = r"\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
@@ -74,26 +78,41 @@ def irregular(text: str) -> bool:
     return bool(_FOREIGN.search(text)) and _mixed_words(text)
 
 
-def _unmix(match) -> str:
-    word = match.group()
-    if word.isascii() or len(_scripts(word)) < 2:
+def _unmixed(word: str, main: str) -> str:
+    """A word of several scripts in one: that into which all its letters of others can be mapped, where there are several that with most of its letters, then `main`.
+
+    Accents are set apart for this and put back. A word that fits no script whole goes as far as possible into the one with most letters.
+    """
+    base = unicodedata.normalize("NFD", word)
+    count = _scripts(base)
+    if len(count) < 2:
         return word
-    return "".join(LOOK_ALIKE_CAPITAL.get(c) or LOOK_ALIKE.get(c) or (x.upper() if (x := LOOK_ALIKE.get(c.lower())) else c) for c in word)
+    rank = {s: (n, s == main, -MAPPED.index(s)) for s, n in count.items() if s in MAPPED}
+    fit = [s for s in rank if all(c in _TO[s] or script(c) in ("", s) for c in base if c.isalpha())]
+    if not rank:
+        return word
+    table = _TO[max(fit or rank, key=rank.__getitem__)]
+    return unicodedata.normalize("NFC", "".join(table.get(c, c) for c in base))
+
+
+def _one_script(text: str) -> str:
+    """text with the words of several scripts brought to one script each."""
+    if not _FOREIGN.search(text):
+        return text
+    main = max(count, key=count.__getitem__) if (count := _scripts(text)) else ""
+    return _WORD.sub(lambda m: m.group() if m.group().isascii() else _unmixed(m.group(), main), text)
 
 
 def _composed(text: str) -> str:
     """The consistent form but for case and blanks."""
-    if text.isascii():
-        return text
-    text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
-    return _WORD.sub(_unmix, text) if _FOREIGN.search(text) else text
+    return text if text.isascii() else _one_script(_INVISIBLE.sub("", unicodedata.normalize("NFKC", text)))
 
 
 def canonical(text: str, fold: bool = True) -> str:
     """The one consistent form of a text; with fold=False letters keep their case. Idempotent."""
     text = _composed(text)
     if fold:
-        text = text.casefold() if text.isascii() else unicodedata.normalize("NFKC", text.casefold())
+        text = text.casefold() if text.isascii() else _one_script(unicodedata.normalize("NFKC", text.casefold()))
     return _BREAK.sub("\n", _SPACE.sub(" ", text)).strip()
 
 

@@ -30,6 +30,36 @@ def test_canonical_meets_its_source():
     assert normalize.canonical("Wе suррort the ｔｅｘｔ, café​.") == normalize.canonical("We support the text, café.")
 
 
+DISTINCT = {"Latin": "gr", "Greek": "λθ", "Cyrillic": "жш"}
+
+
+@pytest.mark.parametrize("row", normalize.LOOK_ALIKE)
+def test_mixed_word_meets_its_clean_form_for_every_pair(row):
+    for n, own in enumerate(normalize.MAPPED):
+        for k, other in enumerate(row):
+            if k != n and other and row[n]:
+                for clean, mixed in ((DISTINCT[own] + row[n], DISTINCT[own] + other), (row[n] * 3, row[n] + other + row[n])):
+                    assert normalize.irregular(mixed) and normalize.canonical(mixed) == normalize.canonical(clean), (clean, mixed)
+
+
+@pytest.mark.parametrize("clean, mixed", [("карта", "кaрта"), ("ελλαδα", "ελλαδa"), ("Комисия", "Кoмисия"), ("paypal", "pаypаl"), ("Première", "Prеmièrе"), ("сосна", "cocнa"), ("ёлка", "ëлка"), ("Ελλάδα", "Ελλάδa"), ("комисия", "комиѕия".replace("ѕ", "c"))])
+def test_mixed_word_goes_to_the_script_that_can_write_it(clean, mixed):
+    assert normalize.canonical(mixed) == normalize.canonical(clean)
+    assert normalize.canonical(clean) == clean.casefold()
+
+
+def test_a_word_that_two_scripts_can_write_follows_its_text():
+    assert normalize.canonical("Комисията решава оa") == normalize.canonical("Комисията решава оа")
+    assert normalize.canonical("We decide аt once") == "we decide at once"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aкAКЛΛνvyуУYλжg éй", max_size=16))
+def test_mixed_words_are_stable(text):
+    once = normalize.canonical(text)
+    assert normalize.canonical(once) == once
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet="ab .,!\ń", max_size=400), st.integers(20, 80), st.integers(0, 15))
 def test_pieces_cover_the_text(text, limit, overlap):
