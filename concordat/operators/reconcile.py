@@ -1,9 +1,11 @@
 """Differences between two copies of a table, by hierarchical checksums over key ranges.
 
-Each side is reduced to (key, 128-bit row hash), repeated rows once. Ranges of keys carry the xor of the hashes of both sides, so a range
-is equal on both sides when its xor is zero. The checksums form a tree: from the top only the ranges that disagree are opened, and
-only the keys in disagreeing leaves are looked at one by one. Full rows are read for disagreeing keys alone, found through a Bloom filter of
-bounded size and an exact semi join, and are compared field by field.
+One scan of each side reduces its rows to (key, two 64-bit row hashes, side), 25 bytes a row, kept in the checkpoint folder. A range of keys has as checksum the
+sums of both hashes' halves and the number of rows, left minus right, so it is zero where both sides hold the same rows equally often. The descent begins with at most
+ROOTS ranges, which every task sums up before anything is moved, and opens disagreeing ranges into FAN parts, level by level, down to single keys. Which ranges are open is
+told to the next pass by a Bloom filter of bounded size: a range that it lets pass wrongly is summed once more and found equal. So what is moved follows
+the number of ranges that disagree. Rows written twice on one side make their ranges disagree as well, and are told from true differences at the keys, where sets of rows
+are compared. A second scan reads the full rows of disagreeing keys alone, which are compared field by field.
 """
 
 from __future__ import annotations
@@ -13,17 +15,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from concordat.functions import bloom
 from concordat.functions.lineage import cut
 
-#: Bits of the key that a range spans, leaf first; each level opens into 64 ranges of the level below.
-LEVELS = (6, 12, 18, 24, 30)
+#: Ranges at the top, at most, and parts into which a disagreeing range is opened.
+ROOTS, FAN = 1 << 12, 1 << 6
 
 
 def _row_hash(columns: list[str], seed: int) -> Column:
-    nulls = F.concat(*[F.when(F.col(f"`{c}`").isNull(), "1").otherwise("0") for c in columns])
+    nulls = F.concat(F.lit(""), *[F.when(F.col(f"`{c}`").isNull(), "1").otherwise("0") for c in columns])
     return F.xxhash64(F.lit(seed), nulls, *[F.col(f"`{c}`") for c in columns])
 
 
 def _digests(df: DataFrame, key: str, columns: list[str], side: int) -> DataFrame:
-    return df.select(F.col(f"`{key}`").alias("k"), _row_hash(columns, 1).alias("h1"), _row_hash(columns, 2).alias("h2")).distinct().withColumn("side", F.lit(side))
+    k = F.col(f"`{key}`")
+    return df.filter(k.isNotNull()).select(k.cast("bigint").alias("k"), _row_hash(columns, 1).alias("h1"), _row_hash(columns, 2).alias("h2"), F.lit(side).cast("byte").alias("side"))
 
 
 def _plain(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -32,23 +35,29 @@ def _plain(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns(maps) if maps else df
 
 
-def _checksums(df: DataFrame, by: str) -> DataFrame:
-    return df.groupBy(by).agg(F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"), F.sum("n").alias("n"))
+def unequal_ranges(digests: DataFrame, bits: int) -> DataFrame:
+    """(r) of the ranges of 2^bits keys whose rows are not the same on both sides, each as often as it is stored."""
+    halves = {f"{h}_{n}": F.sum(F.col("side") * part) for h in ("h1", "h2") for n, part in enumerate((F.shiftrightunsigned(h, 32), F.col(h).bitwiseAND(0xFFFFFFFF)))}
+    sums = digests.groupBy(F.shiftright("k", bits).alias("r")).agg(F.sum(F.col("side").cast("bigint")).alias("n"), *[half.alias(name) for name, half in halves.items()])
+    return sums.filter(" or ".join(f"{name} <> 0" for name in ("n", *halves))).select("r")
+
+
+def levels(low: int, high: int) -> list[int]:
+    """The bits of a range at each level of the descent over keys from low to high, ending with 0, single keys."""
+    span, fan = high - low + 1, FAN.bit_length() - 1
+    bits = max(0, (span - 1).bit_length() - (ROOTS.bit_length() - 2))  # ranges begin at multiples of their size, so one more may be touched
+    return [*range(bits, 0, -fan), 0]
 
 
 def differing_keys(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """The non-null keys whose set of distinct rows is not the same on both sides, by descent through the checksum tree."""
-    both = _digests(left, key, columns, 1).unionByName(_digests(right, key, columns, -1)).filter(F.col("k").isNotNull())
-    keys = both.groupBy("k").agg(F.bit_xor("h1").alias("x1"), F.bit_xor("h2").alias("x2"), F.sum("side").alias("n"))
-    tree = [_checksums(keys.withColumn("r0", F.shiftright("k", LEVELS[0])), "r0")]
-    for n in range(1, len(LEVELS)):
-        tree.append(_checksums(tree[-1].withColumn(f"r{n}", F.shiftright(f"r{n - 1}", LEVELS[n] - LEVELS[n - 1])), f"r{n}"))
-    wrong = (F.col("x1") != 0) | (F.col("x2") != 0) | (F.col("n") != 0)
-    opened = tree[-1].filter(wrong).select(f"r{len(LEVELS) - 1}")
-    for n in range(len(LEVELS) - 2, -1, -1):
-        below = tree[n].filter(wrong).withColumn(f"r{n + 1}", F.shiftright(f"r{n}", LEVELS[n + 1] - LEVELS[n]))
-        opened = below.join(opened, f"r{n + 1}", "left_semi").select(f"r{n}")
-    return keys.filter(wrong).withColumn("r0", F.shiftright("k", LEVELS[0])).join(opened, "r0", "left_semi").select("k")
+    """(k) of the non-null keys whose set of distinct rows is not the same on both sides, by descent through the checksum tree."""
+    open_ = cut(_digests(left, key, columns, 1).unionByName(_digests(right, key, columns, -1)))
+    ends = open_.agg(F.min("k"), F.max("k")).first()
+    for bits in levels(ends[0], ends[1])[:-1] if ends[0] is not None else ():
+        ranges = cut(unequal_ranges(open_, bits))
+        open_ = open_.filter(bloom.might_contain(ranges, bloom.build(ranges, "r"), bloom.key_hash(F.shiftright("k", bits))))
+    rows = open_.groupBy("k", "h1", "h2").agg(F.bit_or(F.when(F.col("side") > 0, 1).otherwise(2)).alias("sides"))  # a row written twice is one
+    return rows.filter("sides <> 3").select("k").distinct()
 
 
 def differences(left: DataFrame, right: DataFrame, key: str, only_left: str, only_right: str) -> DataFrame:
@@ -67,15 +76,18 @@ def differences(left: DataFrame, right: DataFrame, key: str, only_left: str, onl
     def rows(df: DataFrame, side: int) -> DataFrame:
         k = F.col(f"`{key}`")
         near = df.filter(bloom.might_contain(df, held, bloom.key_hash(k.cast("bigint"))) | k.isNull()).select(k.cast("bigint").alias("k"), *[F.col(f"`{c}`") for c in columns])
-        exact = near.filter(F.col("k").isNotNull()).join(ids, "k", "left_semi").unionByName(near.filter(F.col("k").isNull()))
         fields = [F.struct(F.lit(c).alias("f"), F.col(f"`{c}`").cast("string").alias("v")) for c in columns]
-        return exact.select("k", F.explode(F.array(F.struct(F.lit(None).cast("string").alias("f"), F.lit(None).cast("string").alias("v")), *fields)).alias("e")).select("k", "e.f", "e.v", F.lit(side).alias("s"))
+        return near.select("k", F.explode(F.array(F.struct(F.lit(None).cast("string").alias("f"), F.lit(None).cast("string").alias("v")), *fields)).alias("e")).select("k", "e.f", "e.v", F.lit(side).alias("s"))
 
+    # keys that the filter lets pass wrongly are equal on both sides and give no row
     cells = rows(left, 1).unionByName(rows(right, 2)).groupBy("k", "f", "v").agg(F.bit_or("s").alias("s"))
     fields = cells.groupBy("k", "f").agg(
         F.bit_or("s").alias("s"), F.max(F.col("s") != 3).alias("differs"), F.min(F.when(F.col("s") == 1, F.col("v"))).alias("left_value"), F.min(F.when(F.col("s") == 2, F.col("v"))).alias("right_value")
     )
-    missing = fields.filter(F.col("f").isNull() & F.col("k").isNotNull() & (F.col("s") != 3)).select("k", F.when(F.col("s") == 1, only_left).otherwise(only_right).alias("diff_kind"), *[F.lit(None).cast("string").alias(n) for n in ("left_value", "right_value")])
-    changed = fields.filter(F.col("f").isNotNull() & F.col("k").isNotNull() & (F.col("s") == 3) & F.col("differs")).select("k", F.col("f").alias("diff_kind"), "left_value", "right_value")
-    nameless = fields.filter(F.col("f").isNull() & F.col("k").isNull()).select("k", F.explode(F.array_compact(F.array(F.when(F.col("s").bitwiseAND(1) > 0, only_left), F.when(F.col("s").bitwiseAND(2) > 0, only_right)))).alias("diff_kind"), *[F.lit(None).cast("string").alias(n) for n in ("left_value", "right_value")])
-    return missing.unionByName(changed).unionByName(nameless).withColumnRenamed("k", key)
+    named = F.col("k").isNotNull()
+    kinds = F.when(F.col("f").isNotNull(), F.when(named & (F.col("s") == 3) & F.col("differs"), F.array("f"))).otherwise(
+        F.when(named, F.when(F.col("s") == 1, F.array(F.lit(only_left))).when(F.col("s") == 2, F.array(F.lit(only_right)))).otherwise(
+            F.array_compact(F.array(F.when(F.col("s").bitwiseAND(1) > 0, only_left), F.when(F.col("s").bitwiseAND(2) > 0, only_right)))
+        )
+    )
+    return fields.select(F.col("k").alias(key), F.explode(kinds).alias("diff_kind"), "left_value", "right_value")

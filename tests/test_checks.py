@@ -80,3 +80,37 @@ def test_differences_far_apart_keys(spark):
     a = spark.range(0, 3000).selectExpr("id * 1000003 - 5000000000 as id", "cast(id as string) as text")
     b = a.selectExpr("id", "case when text = '77' then '78' else text end as text").filter("text <> '2999'")
     assert rows(reconcile.differences(a, b, "id", "l", "r").select("diff_kind")) == [("l",), ("text",)]
+
+
+def test_differences_against_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    for span, share in ((40, 0.5), (3_000_000, 0.02)):
+        keys = r.sample(range(-span, span), 40)
+        a = [(k, f"t{k}", None if k % 5 else k) for k in keys for _ in range(1 + (r.random() < 0.1))]
+        b = [(k, t + "x" if r.random() < share else t, n if r.random() > share else 7) for k, t, n in a if r.random() > share]
+        b += [(k + 1, "new", 1) for k in keys[:2] if k + 1 not in keys]
+        got = rows(reconcile.differences(spark.createDataFrame(a, "id bigint, text string, n int"), spark.createDataFrame(b, "id bigint, text string, n int"), "id", "l", "r").select("id", "diff_kind"))
+        want = set()
+        for k in {x[0] for x in a + b}:
+            one, two = {x for x in a if x[0] == k}, {x for x in b if x[0] == k}
+            if not one or not two:
+                want.add((k, "l" if one else "r"))
+            else:
+                want |= {(k, f) for f, n in (("text", 1), ("n", 2)) if {x[n] for x in one} != {x[n] for x in two}}
+        assert got == sorted(want, key=str)
+
+
+def test_unequal_ranges_tell_repeated_rows_from_each_other(spark):
+    """Rows that are stored twice on one side each do not cancel out."""
+    a = spark.createDataFrame([(0, "r"), (0, "r"), (1, "s")], "id bigint, text string")
+    b = spark.createDataFrame([(1, "s"), (2, "t"), (2, "t")], "id bigint, text string")
+    assert rows(reconcile.differences(a, b, "id", "l", "r").select("id", "diff_kind")) == [(0, "l"), (2, "r")]
+
+
+def test_levels_of_the_descent():
+    assert reconcile.levels(5, 5) == [0]
+    for low, high in ((0, 7999), (-(2**62), 2**62), (1, 10**11)):
+        steps = reconcile.levels(low, high)
+        assert steps[-1] == 0 and all(0 < a - b <= 6 for a, b in zip(steps, steps[1:])) and ((high >> steps[0]) - (low >> steps[0])) < reconcile.ROOTS
