@@ -1,22 +1,25 @@
 """Near-duplicate texts by anchor points of a covering code.
 
-Every text gets TABLES fingerprints, each a word of LENGTH min-hash symbols over its word shingles. The anchors of a table are a covering
-code over such words: each symbol lies in one of two halves of the alphabet, and an anchor is a word all of whose symbols lie in one half and which is
-fixed by any AGREE of them (a maximum-distance-separable code over the half). Of LENGTH = 2 * AGREE - 1 symbols at least AGREE lie in the same half, so every
-word has an anchor within LENGTH - AGREE changes: the covering radius. A fingerprint is copied to every anchor within that radius plus the threshold
-on fingerprints, which is 0 here since recall comes from the number of tables; an anchor in reach is named by the AGREE places and symbols by which it is fixed, so
-no word of the code is ever written out. On average that is C(LENGTH, AGREE) / 2^(AGREE - 1) copies, 2.5 for 3 of 5.
-
-Fingerprints that meet at an anchor are compared there by size and by a 128-bit sketch (two bits of each of 64 symbols), which also stands for the text. What
-passes is verified by the exact similarity of the shingle sets. Texts with the same shingle set are one representative throughout; their copies come back at the end.
+Every text gets some fingerprints, each a word of LENGTH symbols of 16 bits, made of min-hashes of its word shingles. The anchors are the words of the
+parity code over these symbols, those whose sum is 0 modulo 2^16: a code with q^(LENGTH - 1) words, covering radius 1, and the radius is reached in every place, as
+changing any one symbol by the sum gives a code word. The threshold on fingerprints is 1. Two fingerprints that differ in one place alone have a code word in common within
+the radius of both, the one that differs from them there; so copies to all code words within the radius are enough, and the further ones within radius plus
+threshold, some 400,000, would add no meeting. An anchor is named by its table and code word, whatever place was changed to come there.
+
+Texts of similarity s agree in at least LENGTH - 1 places of a fingerprint with probability s^4 + 4 s^3 (1 - s); there are as many fingerprints as bring the chance that a pair
+at the threshold of similarity meets nowhere below MISS (9 for 0.55, 3 for 0.8).
+
+Fingerprints that meet at an anchor are compared there by size and by a sketch of 60 symbols of two bits, which also stands for the text. What
+passes is verified by the exact similarity of the shingle sets. An anchor with very many texts is split into fragments, of which every two meet in a task of
+their own, so no task compares more than two fragments. Texts with the same shingle set are one representative throughout; their copies come back at the end.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import combinations
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +28,28 @@ from pyspark.sql import Column, DataFrame, functions as F
 from concordat.functions import bloom
 from concordat.functions.lineage import cut
 
-#: Symbols of a fingerprint, symbols that fix an anchor, and fingerprints of a text.
-LENGTH, AGREE, TABLES = 5, 3, 10
-#: Symbols in all: those of the fingerprints and some more for the sketch.
-SYMBOLS = 64
+#: Symbols of a fingerprint, and the chance that a pair at the threshold has no fingerprint in reach of another.
+LENGTH, MISS = 4, 0.0125
+#: Symbols of the sketch; the first 32 fill one 64-bit word, the others share the second with the size.
+SYMBOLS = 60
+#: Standard deviations by which the sketches of a pair at the threshold may lie apart; one such pair in 30,000 lies further.
+DEVIATIONS = 4
+#: Texts of an anchor from which on it is split into fragments of that many, and the share of texts on which anchors are weighed for that.
+HOT, WEIGHED = 4_000, 16
 _WORD = re.compile(r"[^\W_]+")
 _WORD_HASH: dict[str, int] = {}
 
 
-@lru_cache(maxsize=1)
-def _mixers() -> tuple[np.ndarray, np.ndarray]:
+def fingerprints(threshold: float) -> int:
+    """How many fingerprints a text needs for this threshold of similarity."""
+    meets = threshold**LENGTH + LENGTH * threshold ** (LENGTH - 1) * (1 - threshold)
+    return max(1, math.ceil(math.log(MISS) / math.log(max(1 - meets, 1e-9))))
+
+
+@lru_cache(maxsize=4)
+def _mixers(symbols: int) -> tuple[np.ndarray, np.ndarray]:
     g = np.random.default_rng(20)
-    return g.integers(0, 2**32, SYMBOLS, dtype=np.uint64).astype(np.uint32), (g.integers(0, 2**31, SYMBOLS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
+    return g.integers(0, 2**32, symbols, dtype=np.uint64).astype(np.uint32), (g.integers(0, 2**31, symbols, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -80,14 +93,14 @@ def shingle_sets(texts: list[str], k: int, least: int) -> list[np.ndarray | None
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of SYMBOLS 32-bit min-hashes for each non-empty shingle set."""
+def signatures(sets: list[np.ndarray], symbols: int = SYMBOLS) -> np.ndarray:
+    """One row of 32-bit min-hashes for each non-empty shingle set."""
     sizes = np.array([len(s) for s in sets])
     begin = np.cumsum(sizes) - sizes
     x = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
-    xor, mul = _mixers()
-    out = np.empty((SYMBOLS, len(sets)), np.uint32)
-    for i in range(SYMBOLS):
+    xor, mul = _mixers(symbols)
+    out = np.empty((symbols, len(sets)), np.uint32)
+    for i in range(symbols):
         y = (x ^ xor[i]) * mul[i]
         y ^= y >> np.uint32(15)
         y *= np.uint32(0x2C1B3C6D)
@@ -96,21 +109,21 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out.T.copy()
 
 
-def anchors(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, anchor) for every anchor within the covering radius of each row's fingerprints; an anchor is a 64-bit name of table, places and symbols."""
-    rows, names = [], []
-    final = _mix(sig.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    for t in range(TABLES):
-        word = final[:, t * LENGTH : (t + 1) * LENGTH]
-        half = (word >> np.uint64(63)).astype(np.int8)
-        for c, places in enumerate(combinations(range(LENGTH), AGREE)):
-            same = np.flatnonzero((half[:, places[1:]] == half[:, places[:1]]).all(axis=1))
-            name = np.full(len(same), (t * 1000 + c + 1) * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
-            for p in places:
-                name = _mix(name ^ word[same, p])
-            rows.append(same)
-            names.append(name)
-    return np.concatenate(rows), np.concatenate(names)
+def words(sig: np.ndarray, tables: int) -> np.ndarray:
+    """The fingerprints, a column each: LENGTH symbols of 16 bits in a 64-bit word."""
+    symbol = _mix(sig[:, : tables * LENGTH].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+    return np.bitwise_or.reduce(symbol.reshape(len(sig), tables, LENGTH) << (np.arange(LENGTH, dtype=np.uint64) * np.uint64(16)), axis=2)
+
+
+def code_words(word: Column) -> list[Column]:
+    """The words of the parity code that differ from a fingerprint in one place at most, place by place."""
+    symbols = [F.shiftrightunsigned(word, 16 * n).bitwiseAND(0xFFFF) for n in range(LENGTH)]
+    total = reduce(lambda a, b: a + b, symbols)
+    return [word.bitwiseXOR(F.shiftleft(s.bitwiseXOR((s - total).bitwiseAND(0xFFFF)), 16 * n)) for n, s in enumerate(symbols)]
+
+
+def _salt(table: int) -> int:
+    return int(np.uint64((table + 1) * 0x9E3779B97F4A7C15 % 2**64).astype(np.int64))
 
 
 def _digest(s: np.ndarray) -> int:
@@ -123,10 +136,11 @@ def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(a).view(np.int64))
 
 
-def sketches(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit words with two bits of each symbol."""
-    bits = (sig & np.uint32(3)).astype(np.uint64) << (np.arange(SYMBOLS, dtype=np.uint64) % np.uint64(32) * np.uint64(2))
-    return np.bitwise_or.reduce(bits[:, :32], axis=1), np.bitwise_or.reduce(bits[:, 32:], axis=1)
+def sketches(sig: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit words with two bits of each of SYMBOLS symbols; the upper 8 bits of the second are the size in eighths of a power of two."""
+    bits = (sig[:, :SYMBOLS] & np.uint32(3)).astype(np.uint64) << (np.arange(SYMBOLS, dtype=np.uint64) % np.uint64(32) * np.uint64(2))
+    level = np.floor(8 * np.log2(size)).astype(np.uint64) << np.uint64(56)
+    return np.bitwise_or.reduce(bits[:, :32], axis=1), np.bitwise_or.reduce(bits[:, 32:], axis=1) | level
 
 
 def _fitting(batch: pa.RecordBatch, k: int, least: int) -> tuple[list[int], list[np.ndarray]]:
@@ -135,25 +149,22 @@ def _fitting(batch: pa.RecordBatch, k: int, least: int) -> tuple[list[int], list
     return rows, [sets[n] for n in rows]
 
 
-def _spread(batches: Iterator[pa.RecordBatch], k: int, least: int) -> Iterator[pa.RecordBatch]:
-    """A row (anchor, s1, s2, size) for each anchor in reach of a text; texts alike within a batch go once."""
-    for batch in batches:
-        sets = list({s.tobytes(): s for s in _fitting(batch, k, least)[1]}.values())
-        if sets:
-            sig = signatures(sets)
-            rows, names = anchors(sig)
-            s1, s2 = sketches(sig)
-            size = np.array([len(s) for s in sets], np.int32)
-            yield pa.RecordBatch.from_arrays([_signed(names), _signed(s1[rows]), _signed(s2[rows]), pa.array(size[rows])], ["anchor", "s1", "s2", "size"])
-
-
-def _prints(batches: Iterator[pa.RecordBatch], k: int, least: int) -> Iterator[pa.RecordBatch]:
-    """(key, content, s1, s2) of the texts with enough words; content names the shingle set."""
+def _prints(batches: Iterator[pa.RecordBatch], k: int, least: int, tables: int) -> Iterator[pa.RecordBatch]:
+    """(key, content, s1, s2, first, w0, w1 ...) of the texts with enough words: content names the shingle set, first is true once per set and batch."""
     for batch in batches:
         rows, sets = _fitting(batch, k, least)
-        if rows:
-            s1, s2 = sketches(signatures(sets))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), _signed(np.array([_digest(s) for s in sets], np.uint64)), _signed(s1), _signed(s2)], ["key", "content", "s1", "s2"])
+        if not rows:
+            continue
+        content = np.array([_digest(s) for s in sets], np.uint64)
+        _, at, where = np.unique(content, return_index=True, return_inverse=True)
+        kept = [sets[n] for n in at]
+        sig = signatures(kept, max(SYMBOLS, tables * LENGTH))
+        s1, s2 = sketches(sig, np.array([len(s) for s in kept]))
+        first = np.zeros(len(rows), bool)
+        first[at] = True
+        columns = {"content": _signed(content), "s1": _signed(s1[where]), "s2": _signed(s2[where]), "first": pa.array(first)}
+        columns |= {f"w{t}": _signed(w[where]) for t, w in enumerate(words(sig, tables).T)}
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *columns.values()], ["key", *columns])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int, least: int) -> Iterator[pa.RecordBatch]:
@@ -182,15 +193,48 @@ def _exact(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
 
 
 def most_unlike(threshold: float) -> int:
-    """Symbols of the sketch that may differ between texts of this similarity, with three standard deviations to spare."""
+    """Symbols of the sketch that may differ between texts of this similarity."""
     differ = (1 - threshold) * 3 / 4
-    return int(np.ceil(SYMBOLS * differ + 3 * np.sqrt(SYMBOLS * differ * (1 - differ))))
+    return math.ceil(SYMBOLS * differ + DEVIATIONS * math.sqrt(SYMBOLS * differ * (1 - differ)))
 
 
-def _unlike(a: Column, b: Column) -> Column:
+def _unlike(a: Column, b: Column, mask: int) -> Column:
     """Two-bit symbols that differ between two sketch words."""
     x = a.bitwiseXOR(b)
-    return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(mask)))
+
+
+def _fits(threshold: float) -> Column:
+    """Whether x and y may have the threshold's similarity, by size and sketch."""
+    level = lambda n: F.shiftrightunsigned(f"{n}.s2", 56)
+    differ = _unlike(F.col("x.s1"), F.col("y.s1"), 0x5555555555555555) + _unlike(F.col("x.s2"), F.col("y.s2"), 0x0055555555555555)
+    return (F.abs(level("x") - level("y")) <= math.ceil(8 * math.log2(1 / threshold))) & (differ <= most_unlike(threshold))
+
+
+_BEFORE = "x.s1 < y.s1 or x.s1 = y.s1 and x.s2 < y.s2"
+_ENDS = ("x.s1 as a1", "x.s2 as a2", "y.s1 as b1", "y.s2 as b2")
+
+
+def meetings(prints: DataFrame, tables: int, threshold: float) -> DataFrame:
+    """(a1, a2, b1, b2): the pairs of different sketches that fit each other and have an anchor in common."""
+    names = [c.bitwiseXOR(F.lit(_salt(t))) for t in range(tables) for c in code_words(F.col(f"w{t}"))]
+    at = prints.filter("first").select(F.explode(F.array(*names)).alias("anchor"), "s1", "s2")
+    few = prints.filter("first").filter(F.pmod(F.xxhash64("s1", "s2"), F.lit(WEIGHED)) == 0).select(F.explode(F.array(*names)).alias("anchor"))
+    hot = few.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * WEIGHED > HOT)
+    hot = cut(hot.select("anchor", F.ceil(F.col("n") * WEIGHED / HOT).cast("int").alias("parts")))
+    n_hot = hot.count()
+    is_hot = bloom.might_contain(hot, bloom.build(hot, "anchor", items=n_hot), bloom.key_hash(F.col("anchor"))) if n_hot else F.lit(False)
+    even = at.filter(~is_hot).repartition("anchor").distinct()  # one exchange: copies fall together before they are compared
+    met = even.alias("x").join(even.alias("y"), (F.col("x.anchor") == F.col("y.anchor")) & F.expr(_BEFORE) & _fits(threshold)).selectExpr(*_ENDS)
+    if n_hot:
+        part = at.filter(is_hot).distinct().join(hot, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("s1", "s2"), F.col("parts")))
+        part = part.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1).cast("array<bigint>"))).select("anchor", "s1", "s2", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+        same = reduce(lambda a, b: a & b, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("anchor", "low", "high")])
+        once = F.expr(f"x.own < y.own or x.low = x.high and ({_BEFORE})")
+        found = part.alias("x").join(part.alias("y"), same & once & _fits(threshold))
+        first = F.expr(_BEFORE)
+        met = met.unionByName(found.select(*[F.when(first, F.col(f"{a}.{c}")).otherwise(F.col(f"{b}.{c}")).alias(f"{n}{c[1]}") for n, a, b in (("a", "x", "y"), ("b", "y", "x")) for c in ("s1", "s2")]))
+    return met.distinct()
 
 
 class NearDuplicates:
@@ -204,17 +248,10 @@ class NearDuplicates:
     def __init__(self, df: DataFrame, key: str, text: str, shingle: int = 5, threshold: float = 0.8, least_words: int = 0):
         kind = dict(df.dtypes)[key]
         slim = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("t")).na.drop()
-        at = slim.mapInArrow(lambda b: _spread(b, shingle, least_words), "anchor bigint, s1 bigint, s2 bigint, size int")
-        at = at.repartition("anchor").distinct()  # one exchange: hot copies fall together before they are compared
-        x, y = at.alias("x"), at.alias("y")
-        fits = (
-            (F.col("x.anchor") == F.col("y.anchor"))
-            & ((F.col("x.s1") < F.col("y.s1")) | (F.col("x.s1") == F.col("y.s1")) & (F.col("x.s2") < F.col("y.s2")))
-            & (F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * F.lit(threshold))
-            & (_unlike(F.col("x.s1"), F.col("y.s1")) + _unlike(F.col("x.s2"), F.col("y.s2")) <= most_unlike(threshold))
-        )
-        met = cut(x.join(y, fits).select(F.col("x.s1").alias("a1"), F.col("x.s2").alias("a2"), F.col("y.s1").alias("b1"), F.col("y.s2").alias("b2")).distinct())
-        prints = cut(slim.mapInArrow(lambda b: _prints(b, shingle, least_words), f"key {kind}, content bigint, s1 bigint, s2 bigint"))
+        tables = fingerprints(threshold)
+        schema = f"key {kind}, content bigint, s1 bigint, s2 bigint, first boolean, " + ", ".join(f"w{t} bigint" for t in range(tables))
+        prints = cut(slim.mapInArrow(lambda b: _prints(b, shingle, least_words, tables), schema))
+        met = cut(meetings(prints, tables, threshold))
         self.members = prints.select("key", "content").distinct()
         reps = prints.groupBy("content", "s1", "s2").agg(F.min("key").alias("key"))
         end = lambda n: reps.select(F.col("s1").alias(f"{n}1"), F.col("s2").alias(f"{n}2"), F.col("content").alias(n), F.col("key").alias(f"k{n}"))

@@ -44,6 +44,54 @@ def test_near_duplicates_against_brute_force(spark):
     assert all(members[a] == members[b] for a, b in got)
 
 
+def test_code_words_cover_and_are_met_within_the_threshold(spark):
+    r = random.Random(8)
+    word = lambda symbols: sum(x << 16 * n for n, x in enumerate(symbols))
+    signed = lambda w: w - 2**64 if w >= 2**63 else w
+    pairs = []
+    for n in range(200):
+        a = [r.randrange(2**16) for _ in range(4)]
+        b = a[:]
+        b[n % 4] = r.randrange(2**16)
+        pairs.append((signed(word(a)), signed(word(b))))
+    pairs.append((signed(word([1, 2, 3, 2**16 - 6])), signed(word([65535] * 4))))
+    df = spark.createDataFrame(pairs, "a bigint, b bigint")
+    got = df.select("a", "b", F.array(*neardup.code_words(F.col("a"))).alias("x"), F.array(*neardup.code_words(F.col("b"))).alias("y")).collect()
+    for row in got:
+        for w, code in ((row["a"], row["x"]), (row["b"], row["y"])):
+            for n, c in enumerate(code):
+                parts = [[(v % 2**64 >> 16 * k) & 0xFFFF for k in range(4)] for v in (w, c)]
+                assert sum(parts[1]) % 2**16 == 0 and all(parts[0][k] == parts[1][k] for k in range(4) if k != n)
+    assert all(set(row["x"]) & set(row["y"]) for row in got[:-1])
+    assert set(got[-1]["x"]) == {got[-1]["a"]}
+
+
+def test_hot_anchors_in_fragments_meet_alike(spark, monkeypatch):
+    t = texts(150, 9)
+    df = spark.createDataFrame([(i, f"{x} one clause that every text of the table has in common with all the others of it word by word and sign by sign") for i, x in enumerate(t)], "id bigint, text string")
+    whole = rows(neardup.NearDuplicates(df, "id", "text", 3, 0.55).pairs())
+    monkeypatch.setattr(neardup, "HOT", 3)
+    monkeypatch.setattr(neardup, "WEIGHED", 1)
+    assert rows(neardup.NearDuplicates(df, "id", "text", 3, 0.55).pairs()) == whole and len(whole) > 30
+
+
+@pytest.mark.parametrize("threshold, k", [(0.55, 3), (0.8, 5)])
+def test_recall_near_the_threshold(spark, threshold, k):
+    """Pairs just above the threshold, where fingerprints meet most seldom."""
+    r = random.Random(6)
+    data, want = [], set()
+    for n in range(400):
+        base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+        edited = base[:]
+        while jaccard(" ".join(base), " ".join(edited), k) > threshold + 0.03:
+            edited[r.randrange(150)] = f"x{r.randrange(10**6)}"
+        if jaccard(" ".join(base), " ".join(edited), k) >= threshold:
+            want.add((2 * n, 2 * n + 1))
+        data += [(2 * n, " ".join(base)), (2 * n + 1, " ".join(edited))]
+    got = {tuple(x) for x in neardup.NearDuplicates(spark.createDataFrame(data, "id bigint, text string"), "id", "text", k, threshold).pairs().collect()}
+    assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 300
+
+
 def test_near_duplicates_of_nothing_and_of_copies(spark):
     df = spark.createDataFrame([(i, "the same text of more than five words " * 3) for i in range(300)], "id bigint, text string")
     found = neardup.NearDuplicates(df, "id", "text")

@@ -173,17 +173,6 @@ def test_token_counts_are_the_tokenizers():
         assert count(text) == len(encoding.encode_ordinary(text))
 
 
-def test_every_fingerprint_has_an_anchor_and_equals_meet():
-    import numpy as np
-
-    sig = np.random.default_rng(1).integers(0, 2**32, (500, neardup.SYMBOLS), dtype=np.uint64).astype(np.uint32)
-    rows, names = neardup.anchors(sig)
-    per = np.bincount(rows, minlength=500)
-    assert per.min() >= neardup.TABLES and abs(per.mean() / neardup.TABLES - 2.5) < 0.15
-    again = neardup.anchors(sig[:1])[1]
-    assert set(again) == set(names[rows == 0])
-
-
 def test_shingles_and_similarity_of_signatures():
     random.seed(3)
     words = [f"w{random.randrange(10**6)}" for _ in range(400)]
