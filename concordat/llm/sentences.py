@@ -1,17 +1,19 @@
 """Sentence units of texts in many languages and scripts.
 
-Candidate boundaries (terminators, closing quotation marks, line breaks, blanks in Thai) are found in one pass. A terminator is classified by a
-maximum-entropy model over its neighbours: kind of mark, kind and shape of the token before, what follows, the blank between, script. The
-model is fitted on reliable candidates only, taken from a bounded sample of the corpus and from a few built-in examples: what
-stands at the end of a paragraph or is followed by a capital after a plain word is a boundary; what is followed by a small letter,
-or follows a title or a reference such as "Art.", is none. Line breaks are structure: headings, list lines, hard wraps.
+Candidate boundaries (terminators, closing quotation marks, line breaks, blanks in Thai) are found in one pass. Every terminator that is followed by a blank or a
+capital is classified by a maximum-entropy model over its neighbours: the tokens before and after it by name, length, case, digits and script, what is known
+of the token before (a title, a reference, ...), kind of mark, the gap. The model is fitted on reliable candidates only, taken from a bounded sample of the corpus and
+from a few built-in examples: what stands at the end of a paragraph or is followed by a capital after a plain word is a boundary; what is followed by a small
+letter, or follows a title or a reference such as "Art.", is none. Structure is not left to the model: line breaks (headings, list lines, hard wraps), the end of a
+paragraph or text, closing signs of a quotation that ends with a terminator, and blanks in Thai.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -106,21 +108,30 @@ def _shape(token: str) -> str:
     return "one" if len(token) == 1 else ("short_cap" if token[0].isupper() else "short") if len(token) <= 3 else "long"
 
 
+_NEXT = re.compile(r"[^\w\s]*(\w*)")
+#: Characters of a token at most that is told by name; longer ones count by shape and length.
+NAMED = 12
+
+
 def context(text: str, start: int, mark: int, end: int, after: int) -> tuple:
-    """The features of the terminator text[mark:end] (end: past closing signs) in the unit begun at start, followed by text[after:]."""
-    low = max(start, mark - 24)
-    head = text[low:mark]
-    cut = max((m.end() for m in _TOKEN_BREAK.finditer(head)), default=0)
-    token = head[cut:]
+    """What is known of the terminator text[mark:end] (end: past closing signs) in the unit begun at start, followed by text[after:].
+
+    (sign, kind, shape, follows, gap, script, token before, its length, token after, its length, script after)
+    """
+    cut = mark
+    while cut > start and not _TOKEN_BREAK.match(text, cut - 1):
+        cut -= 1
+    token = text[cut:mark]
     small = token.lower().strip("([")
     follows = _follows(text, after)
     kind = "title" if small in TITLES else "reference" if small in REFERENCES or (small in NUMBERED and follows in ("digit", "low", "other")) else "pause" if small in PAUSES else "word"
-    if small == "al" and text[max(start, low + cut - 3) : low + cut].strip().lower() == "et":
+    if small == "al" and text[max(start, cut - 3) : cut].strip().lower() == "et":
         kind = "pause"
     sign = text[mark]
-    sign = "dots" if end - mark > 1 and text[mark : mark + 2] in ("..", "……") or sign == "…" else "stop" if sign == "." else "semi" if sign in ";;" else "strong"
+    sign = "dots" if end - mark > 1 and text[mark : mark + 2] in ("..", "……") or sign == "…" else "stop" if sign == "." else "semi" if sign in ";;" else "strong"
     shape = _shape(token)
-    determined = shape == "number" and head[:cut].rstrip().rpartition(" ")[2].rpartition("\n")[2].lower() in _DETERMINERS
+    if shape == "number" and text[max(start, cut - 24) : cut].rstrip().rpartition(" ")[2].rpartition("\n")[2].lower() in _DETERMINERS:
+        shape = "ordinal"
     if kind != "word":
         shape = "abbreviation"  # what is known of these words says nothing of unknown ones of their shape
     gap = "none" if after == end else "line" if "\n" in text[end:after] else "blank"
@@ -129,18 +140,22 @@ def context(text: str, start: int, mark: int, end: int, after: int) -> tuple:
     script = _script(token[-1]) if token else "other"
     if script in ("arabic", "indic", "east", "thai") and sign == "strong":
         shape = "long"
-    return sign, kind, "ordinal" if determined else shape, follows, gap, script
+    then = _NEXT.match(text, after).group(1)
+    named = lambda t: t.lower() if len(t) <= NAMED and not t.isdigit() else ""
+    return sign, kind, shape, follows, gap, script, named(token), min(len(token), 9), named(then), min(len(then), 9), _script(then[0]) if then else "other"
 
 
 def _features(key: tuple) -> list[str]:
-    sign, kind, shape, follows, gap, script = key
+    sign, kind, shape, follows, gap, script, token, size, then, then_size, then_script = key
     out = ["bias", f"sign={sign}", f"kind={kind}", f"shape={shape}", f"follows={follows}", f"gap={gap}", f"sign,follows={sign},{follows}", f"kind,follows={kind},{follows}", f"shape,gap={shape},{gap}", f"gap,follows={gap},{follows}"]
+    out += [f"size={size}", f"then_size={then_size}", f"script={script}", f"scripts={script},{then_script}"]
+    out += [f"token={token}"] * bool(token) + [f"then={then}"] * bool(then)
     return out + ([f"script,shape={script},{shape}"] if script in ("indic", "arabic") else [])
 
 
 def reliable(key: tuple) -> int | None:
     """1 or 0 for candidates whose class is certain from their surroundings, else None."""
-    sign, kind, shape, follows, gap, script = key
+    sign, kind, shape, follows, gap, script = key[:6]
     if follows == "low" or (sign == "dots" and follows in ("letter", "low")) or kind in ("title", "reference") or shape == "ordinal":
         return 0
     if script == "indic" and sign == "stop":
@@ -152,26 +167,32 @@ def reliable(key: tuple) -> int | None:
 
 @dataclass
 class Classifier:
-    """Logistic regression over `_features`; decisions are kept per distinct context."""
+    """Logistic regression over `_features`, fitted on the contexts whose class is reliable and asked for every context; decisions are kept per distinct context."""
 
     weights: dict[str, float] = field(default_factory=dict)
     known: dict[tuple, bool] = field(default_factory=dict)
 
-    def fit(self, counts: Counter, rounds: int = 300, ridge: float = 0.02) -> "Classifier":
-        keys = [k for k in counts if reliable(k) is not None]
-        names = sorted({f for k in keys for f in _features(k)})
+    def fit(self, counts: Counter, rounds: int = 30, ridge: float = 0.02, named: int = 5) -> "Classifier":
+        """named: contexts in which a token must stand to have a weight of its own."""
+        keys = sorted(k for k in counts if reliable(k) is not None)
+        seen = Counter(f for k in keys for f in _features(k))
+        names = sorted(f for f, n in seen.items() if n >= named or not f.startswith(("token=", "then=")))
         index = {f: n for n, f in enumerate(names)}
-        x = np.zeros((len(keys), len(names)))
-        for row, k in enumerate(keys):
-            x[row, [index[f] for f in _features(k)]] = 1
+        own = [[index[f] for f in _features(k) if f in index] for k in keys]
+        at = np.full((len(keys), max(map(len, own))), len(names))  # the last feature is none
+        for row, f in enumerate(own):
+            at[row, : len(f)] = f
         y = np.array([reliable(k) for k in keys], dtype=float)
         weight = 1 + np.log([counts[k] for k in keys])
+        times = lambda w: np.append(w, 0.0)[at].sum(axis=1)
+        back = lambda u: np.bincount(at.ravel(), np.repeat(u, at.shape[1]), len(names) + 1)[:-1]
         w = np.zeros(len(names))
-        for _ in range(rounds):  # Newton's method needs few rounds; it ends when nothing moves
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            step = np.linalg.solve((x.T * (weight * np.maximum(p * (1 - p), 1e-6))) @ x + ridge * np.eye(len(names)), x.T @ (weight * (y - p)) - ridge * w)
+        for _ in range(rounds):  # Newton's method, each step by conjugate gradients; it ends when nothing moves
+            p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
+            curve = weight * np.maximum(p * (1 - p), 1e-6)
+            step = _solve(lambda v: back(curve * times(v)) + ridge * v, back(weight * (y - p)) - ridge * w)
             w += step
-            if np.abs(step).max() < 1e-6:
+            if np.abs(step).max() < 1e-4:
                 break
         self.weights = dict(zip(names, w.tolist()))
         return self
@@ -179,11 +200,28 @@ class Classifier:
     def __call__(self, key: tuple) -> bool:
         got = self.known.get(key)
         if got is None:
-            sure = reliable(key)
-            got = self.known[key] = bool(sure) if sure is not None else sum(self.weights.get(f, 0.0) for f in _features(key)) > 0
+            if len(self.known) > 200_000:
+                self.known.clear()
+            got = self.known[key] = sum(self.weights.get(f, 0.0) for f in _features(key)) > 0
         return got
 
 
+def _solve(matrix: Callable[[np.ndarray], np.ndarray], b: np.ndarray, most: int = 200) -> np.ndarray:
+    """x with matrix(x) = b, by conjugate gradients."""
+    x, r = np.zeros_like(b), b.copy()
+    d, rr = r.copy(), r @ r
+    for _ in range(most):
+        if rr < 1e-12:
+            break
+        m = matrix(d)
+        alpha = rr / (d @ m)
+        x += alpha * d
+        r -= alpha * m
+        rr, old = r @ r, rr
+        d = r + rr / old * d
+    return x
+
+
 #: Built-in reliable examples, so that a small or empty corpus has a classifier too.
 EXAMPLES = (
     "The members decided. They agreed quickly. Everyone spoke. Nothing changed. Later they returned. Some objected! Others asked why? Finally they voted. Votes were counted. Results followed. People waited outside. Rain began falling.\n\nStill they waited.",
@@ -194,7 +232,7 @@ EXAMPLES = (
     "Le comité a siégé en 2014. M. Blanc a cité l'art. 5, al. 3, p. ex. le rapport, etc. sans suite.\n\nVoir n° 4. Pourquoi ? Rien n'est dit... mais tout change.",
     "Der Ausschuss tagte 2014. Die Kommission nahm laut S. 10 ff. die 8. Fassung an, z. B. das Netz usw. ohne Frist.\n\nDr. Stein stimmte zu! Warum? Niemand weiß es.",
     "El comité se reunió en 2014. El Sr. Ruiz citó el art. 5, etc. sin más.\n\nVéase pág. 3. ¿Por qué? Nadie sabe.",
-    "Комисията заседава през 2014 г. без доклад. Проф. Иванов цитира чл. 5 и др. без срок.\n\nЗащо? Никой не знае.",
+    "Комисията заседава през 2014 г. без доклад. Проф. Иванов цитира чл. 5 и др. без срок. Докладът има таблици, карти и др. Кой го чете? Има такси, срокове и др. Нищо ново.\n\nЗащо? Никой не знае.",
     "Η επιτροπή συνεδρίασε. Το άρθ. 5 παρ. 3 ισχύει, π.χ. το μητρώο, κ.λπ. χωρίς όριο.\n\nΓιατί; Κανείς δεν ξέρει.",
     "اجتمعت اللجنة. ثم أجلت القرار. لماذا؟ لا أحد يعلم.",
     "समिति मिली। डॉ. राव ने कहा। अनु. 5 लागू है। क्यों? कोई नहीं जानता।",
@@ -225,7 +263,7 @@ def _heading(unit: str, following: str, wrapped: bool) -> bool:
     return True
 
 
-def units(text: str, decide: Classifier, seen: Counter | None = None) -> list[tuple[int, int]]:
+def units(text: str, decide: Callable[[tuple], bool], seen: Counter | None = None) -> list[tuple[int, int]]:
     """(start, end) of the units of a text, without surrounding blanks. seen: counts the contexts met, for fitting."""
     n = len(text)
     spans = _spans(text)
@@ -370,7 +408,7 @@ def _joined(text: str, at: int, after: int) -> bool:
     return after + 1 >= len(text) or not text[after + 1] == "."
 
 
-def _ends_at(text: str, start: int, at: int, end: int, stop: int, after: int, decide: Classifier, seen: Counter | None) -> bool:
+def _ends_at(text: str, start: int, at: int, end: int, stop: int, after: int, decide: Callable[[tuple], bool], seen: Counter | None) -> bool:
     if after >= len(text):
         return True
     key = context(text, start, at, end if stop == end else stop, after)
@@ -381,7 +419,7 @@ def _ends_at(text: str, start: int, at: int, end: int, stop: int, after: int, de
     return decide(key)
 
 
-def _ends(text: str, start: int, at: int, end: int, decide: Classifier, seen: Counter | None) -> bool:
+def _ends(text: str, start: int, at: int, end: int, decide: Callable[[tuple], bool], seen: Counter | None) -> bool:
     """For a line that ends with a terminator before a list mark: whether that really ends a unit (not so after "No." or "Art.")."""
     mark = at
     while mark > start and text[mark - 1] not in TERMINATORS:
@@ -389,24 +427,35 @@ def _ends(text: str, start: int, at: int, end: int, decide: Classifier, seen: Co
     return decide(context(text, start, mark - 1, mark, end))
 
 
-def fit(texts: list[str]) -> Classifier:
-    """The classifier from the reliable candidates of these texts and of the built-in examples."""
+def contexts(texts: Iterable[str]) -> Counter:
+    """How often each context of a terminator occurs; as nothing is fitted yet, reliable ones alone end a unit."""
     seen: Counter = Counter()
-    open_ = Classifier()
-    for t in (*EXAMPLES, *texts):
-        units(t, open_, seen)
-    return Classifier().fit(seen)
+    for t in texts:
+        units(t, lambda key: reliable(key) == 1, seen)
+    return seen
+
+
+def fit(texts: Iterable[str], counts: Counter | None = None) -> Classifier:
+    """The classifier from the reliable candidates of these texts, of contexts counted elsewhere and of the built-in examples."""
+    return Classifier().fit(contexts((*EXAMPLES, *texts)) + (counts or Counter()))
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        seen = contexts(batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([json.dumps(k) for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["context", "n"])
 
 
-def sample(df: DataFrame, text: str, most: int = SAMPLE_DOCUMENTS) -> list[str]:
-    """At most `most` texts for fitting, the ones of least hash, so any copy of the data gives the same; each cut to 4,000 characters for this purpose alone."""
+def sample(df: DataFrame, text: str, most: int = SAMPLE_DOCUMENTS) -> Counter:
+    """The contexts in at most `most` whole texts, those of least hash, so any copy of the data gives the same; only distinct contexts come to the driver."""
     t = F.col(f"`{text}`")
     one_in = max(1, df.count() // max(1, most))  # so that about `most` rows pass the filter, whatever the table's size
-    held = df.select(t.alias("t"), F.xxhash64(t).alias("h")).filter(F.col("t").isNotNull() & (F.pmod("h", F.lit(one_in)) == 0))
-    return [r[0] for r in held.select(F.substring("t", 1, 4000).alias("t"), "h").orderBy("h").limit(most).collect()]
+    held = df.select(t.alias("t"), F.xxhash64(t).alias("h")).filter(F.col("t").isNotNull() & (F.pmod("h", F.lit(one_in)) == 0)).orderBy("h").limit(most)
+    counted = held.select("t").repartition(8).mapInArrow(_count, "context string, n bigint").groupBy("context").agg(F.sum("n").alias("n"))
+    return Counter({tuple(json.loads(r["context"])): r["n"] for r in counted.collect()})
 
 
-def _split(batches: Iterator[pa.RecordBatch], decide: Classifier) -> Iterator[pa.RecordBatch]:
+def _split(batches: Iterator[pa.RecordBatch], decide: Callable[[tuple], bool]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, starts, ends, ids = batch.column(0), [], [], []
         for row, text in enumerate(batch.column(1).to_pylist()):
@@ -424,7 +473,7 @@ def sentences(df: DataFrame, key: str, text: str, decide: Classifier | None = No
     Null, empty and blank texts give no row; texts of any length are split whole. Rows repeated whole give their units again. Ties do not occur: units
     of a text never overlap, and together they hold every character that is not blank. The key is kept as it is, null too.
     """
-    decide = decide or fit(sample(df, text))
+    decide = decide or fit((), sample(df, text))
     kind = dict(df.dtypes)[key]
     slim = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("t"))
     return slim.mapInArrow(lambda b: _split(b, decide), f"key {kind}, start_pos bigint, end_pos bigint").withColumnRenamed("key", key)

@@ -182,3 +182,14 @@ def test_shingles_and_similarity_of_signatures():
     j = len(set(sets[0].tolist()) & set(sets[1].tolist())) / len(set(sets[0].tolist()) | set(sets[1].tolist()))
     sig = neardup.signatures([sets[0], sets[1]])
     assert abs((sig[0] == sig[1]).mean() - j) < 0.2
+
+
+def test_the_model_decides_and_agrees_with_reliable_boundaries_it_has_not_seen():
+    import duckdb
+
+    docs = [x for (x,) in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet' where trim(text) <> '' order by doc_id").fetchall()]
+    decide, seen = sentences.fit(docs[::2]), sentences.contexts(docs[1::2])
+    known = {k: n for k, n in seen.items() if sentences.reliable(k) is not None}
+    assert sum(n for k, n in known.items() if decide(k) == bool(sentences.reliable(k))) >= 0.995 * sum(known.values())
+    assert sum(known.values()) < sum(seen.values())
+    assert not any(sentences.Classifier()(k) for k in known)  # without weights nothing is a boundary: no rule stands in for the model
