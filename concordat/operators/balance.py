@@ -13,6 +13,8 @@ import math
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from concordat.functions.lineage import cut
+
 #: A key is planned on its own when it has at least 1/FINE of one task's even share.
 FINE = 16
 
@@ -45,8 +47,8 @@ def pack(loads: list[tuple[str | None, int]], total: int, tasks: int) -> list[tu
 
 def plan(df: DataFrame, key: str, tasks: int) -> DataFrame:
     """The packing of `df`'s heavy keys as a table of at most tasks * FINE rows (key as string, shards, tasks)."""
-    loads = df.groupBy(F.col(f"`{key}`").cast("string").alias("__key")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.count()
+    loads = cut(df.groupBy(F.col(f"`{key}`").cast("string").alias("__key")).agg(F.count(F.lit(1)).alias("n")))  # the table is counted once
+    total = loads.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     heavy = loads.filter((F.col("n") >= max(1.0, total / tasks / FINE)) & (F.col("n") > 1)).collect()  # at most tasks * FINE rows, by the threshold
     return df.sparkSession.createDataFrame(pack([(r["__key"], r["n"]) for r in heavy], total, tasks), PLAN)
 
@@ -86,12 +88,16 @@ def replicate_join(left: DataFrame, right: DataFrame, key: str, by: list[str], t
     placed = place(left, key, [F.col(f"`{b}`") for b in by], tasks, packing)
     clash = (set(left.columns) & set(right.columns)) - {key}
     named = right.select(F.col(f"`{key}`").alias("__rk"), *[F.col(f"`{c}`").alias(f"{c}_right" if c in clash else c) for c in right.columns if c != key])
+    light = F.pmod(F.xxhash64(F.col("__rk").cast("string")), F.lit(tasks)).cast("int")
     copies = (
         named.join(F.broadcast(packing), F.col("__rk").cast("string") == F.col("__key"), "left")  # at most tasks * FINE rows
-        .withColumn("__rs", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__shards"), F.lit(1)) - 1)))
+        .select("*", F.posexplode(F.coalesce(F.col("__tasks"), F.array(light))).alias("__rs", "__rt"))
         .drop("__key", "__shards", "__tasks")
     )
-    return placed.join(copies, (placed[key] == F.col("__rk")) & (F.col("__shard") == F.col("__rs")), how).drop("__rk", "__rs", "__shard", "__task")
+    # both sides go to the tasks of the packing, where shards are joined
+    placed, copies = placed.repartitionById(tasks, F.col("__task")), copies.repartitionById(tasks, F.col("__rt"))
+    same = (placed[key] == F.col("__rk")) & (F.col("__shard") == F.col("__rs")) & (F.col("__task") == F.col("__rt"))
+    return placed.join(copies, same, how).drop("__rk", "__rs", "__rt", "__shard", "__task")
 
 
 def heavy_values(df: DataFrame, keys: list[str], id_col: str, text_col: str, share: float = 0.05) -> DataFrame:

@@ -6,18 +6,17 @@ of its own; a query restarted with the same folder goes on where it stopped.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from concordat.functions.lineage import shared_folder
 from concordat.operators import positions as P, store
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder under the session's checkpoint folder; a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="concordat-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    """A new folder under the session's shared folder."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def read(spark: SparkSession, path: str, files: int = 1) -> DataFrame:

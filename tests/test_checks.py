@@ -1,5 +1,7 @@
 """Skewed keys, orphan references, differences between copies: defined results for nulls, empties, ties, repeats, clashing names."""
 
+import pytest
+
 from concordat.operators import balance, orphans, reconcile
 
 
@@ -114,3 +116,26 @@ def test_levels_of_the_descent():
     for low, high in ((0, 7999), (-(2**62), 2**62), (1, 10**11)):
         steps = reconcile.levels(low, high)
         assert steps[-1] == 0 and all(0 < a - b <= 6 for a, b in zip(steps, steps[1:])) and ((high >> steps[0]) - (low >> steps[0])) < reconcile.ROOTS
+
+
+def test_replicated_rows_are_joined_in_the_tasks_of_the_packing(spark):
+    left = spark.createDataFrame([("hot" if n % 3 else f"k{n}", n) for n in range(3000)], "key string, id bigint")
+    right = spark.createDataFrame([("hot", "a"), ("hot", "b"), ("k0", "c"), ("none", "d")], "key string, v string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = balance.replicate_join(left, right, "key", ["id"], tasks=6)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("shufflepartitionidpassthrough") == 2 and "Exchange hashpartitioning" not in plan
+        assert got.count() == 2 * 2000 + 1000 and got.filter("v is not null").count() == 4001
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from concordat.functions import lineage
+
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="a"))
+    with pytest.raises(RuntimeError):
+        lineage.shared_folder(unset)
