@@ -172,13 +172,13 @@ def x22(spark, d):
     return load(spark, d, "documents").filter("text is not null").select("doc_id", F.size(heads).alias("n"))
 
 
-_DIFFERS = r"""SELECT a.document_id, a.section_id, a.text AS old, b.text AS new, b.id AS kept FROM segments a LEFT JOIN (SELECT DISTINCT id, text FROM segments_copy WHERE text IS NOT NULL) b USING (id) WHERE regexp_matches(a.section_id, '^art_\d+$') AND a.text IS NOT NULL AND (b.id IS NULL OR (a.text <> b.text AND NOT regexp_matches(b.text, '[«»]')))"""
+_DIFFERS = r"""SELECT a.document_id, a.section_id, a.text AS old, b.text AS new, b.id AS kept FROM segments a LEFT JOIN (SELECT DISTINCT id, text FROM segments_copy WHERE text IS NOT NULL) b USING (id) WHERE regexp_matches(a.section_id, '^art_\d+$') AND a.text IS NOT NULL AND (b.id IS NULL OR a.text <> b.text)"""
 
 
 def _differing(spark, d):
     a = load(spark, d, "segments").filter(F.col("section_id").rlike(r"^art_\d+$") & F.col("text").isNotNull()).select("id", "document_id", "section_id", F.col("text").alias("old"))
     b = load(spark, d, "segments_copy").filter("text is not null").select("id", F.col("text").alias("new"), F.lit(True).alias("kept")).distinct()
-    return a.join(b, "id", "left").filter(F.col("kept").isNull() | ((F.col("old") != F.col("new")) & ~F.col("new").rlike("[«»]")))
+    return a.join(b, "id", "left").filter(F.col("kept").isNull() | (F.col("old") != F.col("new")))
 
 
 def _acts(spark, d):
@@ -201,6 +201,44 @@ def x13(spark, d):
     return A.applied(load(spark, d, "segments"), A.instructions(_acts(spark, d), "document_id", "act")).select("document_id", "section_id", "text_after", "fidelity", "status")
 
 
+_HEAD = "ONT ADOPTÉ LE PRÉSENT RÈGLEMENT:\nArticle premier\nModifications du règlement (UE) 2023/2854\nLe règlement (UE) 2023/2854 est modifié comme suit:\n"
+_NEXT = "Article 2\nModification du règlement (UE) 2016/679\n"
+_OLD = "Article 7\n1. {text}\n2. Deux\n(a) un\n(b) deux\n3. Trois"
+#: Acts and what they make of _OLD: (case, instructions, section, text after, fidelity, status, instructions to it).
+ACT_CASES = [
+    ("paragraph removed", "1. À l'article 7, le paragraphe 2 est supprimé.", "art_7", "Article 7\n1. {text}\n3. Trois", "exacte", "Modifié", 1),
+    ("point replaced", "1. À l'article 7, le point b) est remplacé par le texte suivant:\n«(b) dit « neuf « ici » » »;", "art_7", "Article 7\n1. {text}\n2. Deux\n(a) un\n(b) dit « neuf « ici » »\n3. Trois", "exacte", "Modifié", 1),
+    ("paragraph inserted", "1. À l'article 7, le paragraphe suivant est inséré:\n«2 bis. Neuf\n1. cité.»;", "art_7", "Article 7\n1. {text}\n2. Deux\n(a) un\n(b) deux\n2 bis. Neuf 1. cité.\n3. Trois", "exacte", "Inséré", 1),
+    ("paragraph before another", "1. À l'article 7, le paragraphe suivant est inséré:\n«3. Entre.»;", "art_7", "Article 7\n1. {text}\n2. Deux\n(a) un\n(b) deux\n3. Entre.\n3. Trois", "exacte", "Inséré", 1),
+    ("paragraph at the end", "1. À l'article 7, le paragraphe suivant est ajouté:\n«4. Quatre.»;", "art_7", "Article 7\n1. {text}\n2. Deux\n(a) un\n(b) deux\n3. Trois\n4. Quatre.", "approchee", "Modifié", 1),
+    ("points removed", "1. À l'article 7, le point a) et le point b) sont supprimés.", "art_7", "Article 7\n1. {text}\n2. Deux\n3. Trois", "exacte", "Modifié", 1),
+    ("maintained", "1. Les dispositions de l'article 7 continuent de s'appliquer.", "art_7", _OLD, "exacte", "Maintenu", 1),
+    ("paragraph replaced", "1. À l'article 7, le paragraphe 3 est remplacé par le texte suivant:\n«Trois neuf.»;", "art_7", "Article 7\n1. {text}\n2. Deux\n(a) un\n(b) deux\n3. Trois neuf.", "exacte", "Modifié", 1),
+    ("point missing", "1. À l'article 7, le point z) est supprimé.", "art_7", _OLD, "non_appliquee", "Modifié", 1),
+    ("both named", "1. À l'article 7, paragraphe 2, le point a) est remplacé par le texte suivant:\n«(a) neuf»;", "art_7", _OLD, "non_appliquee", "Modifié", 1),
+    ("article removed", "1. L'article 7 est abrogé.", "art_7", "", "exacte", "Supprimé", 1),
+    ("article created", "1. L'article 8 bis suivant est inséré:\n«Article 8 bis\nNeuf.»;", "art_8bis", "Article 8 bis Neuf.", "exacte", "Inséré", 1),
+    ("beside one created", "1. L'article 8 bis suivant est inséré:\n«Article 8 bis\nNeuf.»;", "art_7", _OLD, "inchange", "Inchangé", 0),
+    ("sub-instructions", "1. L'article 7 est modifié comme suit:\n(a) le point b) est supprimé;\n(b) le paragraphe suivant est inséré:\n«2 bis. Neuf.»;", "art_7", "Article 7\n1. {text}\n2. Deux\n(a) un\n2 bis. Neuf.\n3. Trois", "approchee", "Modifié", 3),
+    ("unnumbered", "1. À l'article 7, le paragraphe 2 est supprimé.\n" + _NEXT + "À l'article 7, le paragraphe 3 est remplacé par le texte suivant:\n«3. Trois neuf.»", "art_7", "Article 7\n1. {text}\n3. Trois neuf.", "exacte", "Modifié", 2),
+]
+_text = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+_AFTER = ", ".join(f"({_text(case)}, {_text(section)}, {_text(after)}, '{fidelity}', '{status}', {n})" for case, _, section, after, fidelity, status, n in ACT_CASES)
+
+
+@query("x13_structured", rf"SELECT s.id, a.name, a.section_id, replace(a.after, '{{text}}', trim(regexp_replace(s.text, '\s+', ' ', 'g'))) AS text_after, fidelity, status, n AS n_instructions FROM segments s, (VALUES {_AFTER}) a(name, section_id, after, fidelity, status, n) WHERE s.text IS NOT NULL")
+def x13_structured(spark, d):
+    """Every segment as paragraph 1 of an article with points, changed by an act of each kind: points, paragraphs, insertions, nested quotations, sub-instructions."""
+    acts = F.array(*[F.struct(F.lit(case).alias("name"), F.lit(_HEAD + said).alias("act"), F.lit(section).alias("wanted")) for case, said, section, *_ in ACT_CASES])
+    flat = F.trim(F.regexp_replace("text", r"\s+", " "))
+    s = load(spark, d, "segments").filter("text is not null").select("id", F.replace(F.lit(_OLD), F.lit("{text}"), flat).alias("text"), F.explode(acts).alias("a")).select("id", "text", "a.*")
+    s = s.withColumn("document_id", F.concat_ws("/", F.col("id").cast("string"), "name"))
+    got = A.applied(s.select("document_id", F.lit("art_7").alias("section_id"), "text"), A.instructions(s, "document_id", "act"))
+    named = got.withColumns({"id": F.substring_index("document_id", "/", 1).cast("bigint"), "name": F.substring_index("document_id", "/", -1)})
+    wanted = F.create_map(*[x for case, _, section, *_ in ACT_CASES for x in (F.lit(case), F.lit(section))])
+    return named.filter(wanted[F.col("name")] == F.col("section_id")).select("id", "name", "section_id", "text_after", "fidelity", "status", "n_instructions")
+
+
 @query("a26_act_synthesis", f"SELECT celex, section_id, operation, count(*) AS n, grouping(celex, section_id, operation) AS level FROM (SELECT '32023R2854' AS celex, section_id, CASE WHEN kept IS NULL THEN 'suppression' ELSE 'remplacement' END AS operation FROM ({_DIFFERS})) GROUP BY GROUPING SETS ((celex, section_id), (celex), (operation), ())")
 def a26_acts(spark, d):
     return A.synthesis(A.instructions(_acts(spark, d), "document_id", "act")).select("celex", "section_id", "operation", "n", "level")
