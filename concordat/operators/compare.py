@@ -63,24 +63,25 @@ def inline_diff(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([inline(a or "", b or "", context=8) for a, b in zip(old, new)])
 
 
-def versions(old: DataFrame, new: DataFrame, key: str, text: str, threshold: float = 0.995, measured: bool = True) -> DataFrame:
-    """(key, status, similarity, added, removed): every key of either side; ajout, suppression, inchange, reformulation.
+def versions(old: DataFrame, new: DataFrame, keys: str | list[str], text: str, threshold: float = 0.995, measured: bool = True) -> DataFrame:
+    """(keys, status, similarity, added, removed): every key of either side; ajout, suppression, inchange, reformulation.
 
     Similarity is null where a side lacks the key. Equal texts never reach Python. With measured=False only equality decides, all in the JVM.
     """
-    a = old.select(F.col(key), F.coalesce(text, F.lit("")).alias("old_text"), F.lit(True).alias("__o"))
-    b = new.select(F.col(key), F.coalesce(text, F.lit("")).alias("new_text"), F.lit(True).alias("__n"))
-    both = a.join(b, key, "full_outer")
+    keys = [keys] if isinstance(keys, str) else keys
+    a = old.select(*keys, F.coalesce(text, F.lit("")).alias("old_text"), F.lit(True).alias("__o"))
+    b = new.select(*keys, F.coalesce(text, F.lit("")).alias("new_text"), F.lit(True).alias("__n"))
+    both = a.join(b, keys, "full_outer")
     pair = F.col("__o").isNotNull() & F.col("__n").isNotNull()
     differs = F.col("old_text") != F.col("new_text")
     if not measured:
         status = F.when(F.col("__o").isNull(), "ajout").when(F.col("__n").isNull(), "suppression").when(differs, "reformulation").otherwise("inchange")
-        return both.select(key, status.alias("status"))
+        return both.select(*keys, status.alias("status"))
     asked = ~pair | differs
     both = both.withColumn("__d", _diff(F.when(asked, F.col("old_text")), F.when(asked, F.col("new_text"))))
     similarity = F.when(pair, F.when(differs, F.col("__d.similarity")).otherwise(1.0))
     status = F.when(F.col("__o").isNull(), "ajout").when(F.col("__n").isNull(), "suppression").when(similarity >= threshold, "inchange").otherwise("reformulation")
-    return both.select(key, status.alias("status"), similarity.alias("similarity"), F.coalesce("__d.added", F.lit(0)).alias("added"), F.coalesce("__d.removed", F.lit(0)).alias("removed"))
+    return both.select(*keys, status.alias("status"), similarity.alias("similarity"), F.coalesce("__d.added", F.lit(0)).alias("added"), F.coalesce("__d.removed", F.lit(0)).alias("removed"))
 
 
 def history(df: DataFrame, text: str, before: str) -> DataFrame:
@@ -133,9 +134,9 @@ def uptake(requests: DataFrame, party: str, verdict: str) -> DataFrame:
     return g.withColumn("rate", (F.col("kept") + F.col("partly") * 0.5) / F.nullif(decided, F.lit(0)))
 
 
-def track(requests: DataFrame, target: DataFrame, key: str, deletion: str) -> DataFrame:
+def track(requests: DataFrame, target: DataFrame, keys: list[str], deletion: str) -> DataFrame:
     """requests with the verdict that structure alone gives: a deletion is retenue where the section is gone, ecartee where it stands; all else indetermine."""
-    there = target.select(F.col(key)).distinct().withColumn("__there", F.lit(True))
+    there = target.select(*keys).distinct().withColumn("__there", F.lit(True))
     asked = F.coalesce(F.col(deletion), F.lit(False))
     verdict = F.when(asked & F.col("__there").isNull(), "retenue").when(asked, "ecartee").otherwise("indetermine")
-    return requests.join(there, key, "left").withColumn("verdict", verdict).drop("__there")
+    return requests.join(there, keys, "left").withColumn("verdict", verdict).drop("__there")

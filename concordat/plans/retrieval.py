@@ -89,52 +89,57 @@ def f11(spark, d):
 
 
 def _sides(spark, d):
-    one = load(spark, d, "segments").select("id", "text")
-    two = load(spark, d, "segments_copy").select("id", "text").distinct().groupBy("id").agg(F.min("text").alias("text"))
-    return one, two
+    """Segments and their copy, the fragments of each article rejoined."""
+    whole = lambda t: S.rejoin(load(spark, d, t).distinct(), "document_id", "section_id", "section_label", "text").select("document_id", "root_id", "text")
+    return whole("segments"), whole("segments_copy")
 
 
-@query("j5_status", "SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'ajout' WHEN b.id IS NULL THEN 'suppression' WHEN a.text <> b.text THEN 'reformulation' ELSE 'inchange' END AS status FROM (SELECT id, coalesce(text, '') AS text FROM segments) a FULL JOIN (SELECT id, coalesce(min(text), '') AS text FROM segments_copy GROUP BY id) b ON a.id = b.id")
+_ROOTS = r"""SELECT document_id, root_id, string_agg(text, chr(10) ORDER BY rank, section_id, text) AS text FROM (SELECT document_id, section_id, coalesce(text, '') AS text, CASE WHEN regexp_matches(section_id, '^[a-z]+_\d+[a-z]?_\d+$') THEN regexp_extract(section_id, '^([a-z]+_\d+[a-z]?)_\d+$', 1) ELSE section_id END AS root_id, CASE WHEN regexp_matches(section_id, '^[a-z]+_\d+[a-z]?_\d+$') THEN CAST(regexp_extract(section_id, '_(\d+)$', 1) AS int) ELSE 0 END AS rank FROM (SELECT DISTINCT * FROM {0})) GROUP BY document_id, root_id"""
+_STATUS = f"SELECT coalesce(a.document_id, b.document_id) AS document_id, coalesce(a.root_id, b.root_id) AS root_id, CASE WHEN a.text IS NULL THEN 'ajout' WHEN b.text IS NULL THEN 'suppression' WHEN a.text <> b.text THEN 'reformulation' ELSE 'inchange' END AS status FROM ({_ROOTS.format('segments')}) a FULL JOIN ({_ROOTS.format('segments_copy')}) b ON a.document_id = b.document_id AND a.root_id = b.root_id"
+
+
+@query("j5_status", _STATUS)
 def j5(spark, d):
-    return C.versions(*_sides(spark, d), "id", "text", measured=False)
+    """Articles of two copies, paired by document and root of the section, fragments rejoined."""
+    return C.versions(*_sides(spark, d), ["document_id", "root_id"], "text", measured=False)
 
 
 @query("x18_version_compare")
 def x18(spark, d):
-    return C.versions(*_sides(spark, d), "id", "text")
+    return C.versions(*_sides(spark, d), ["document_id", "root_id"], "text")
 
 
 @query("x19_article_history")
 def x19(spark, d):
-    """Each section against the version before it in its dossier, fragments rejoined."""
-    s = S.rejoin(load(spark, d, "segments"), "document_id", "section_id", "section_label", "text")
+    """Each section against the version before it in its dossier; sections as they are stored, fragments apart."""
+    s = load(spark, d, "segments").select("document_id", "section_id", F.coalesce("text", F.lit("")).alias("text"))
     l = load(spark, d, "library_documents").select(F.col("id").alias("document_id"), "dossier", "version_date").filter("version_date is not null")
-    w = Window.partitionBy("dossier", "root_id").orderBy("version_date", "document_id")
-    return C.history(s.join(l, "document_id").withColumn("before", F.lag("text").over(w)), "text", "before").select("document_id", "root_id", "similarity", "added", "removed")
+    w = Window.partitionBy("dossier", "section_id").orderBy("version_date", "document_id")
+    return C.history(s.join(l, "document_id").withColumn("before", F.lag("text").over(w)), "text", "before").select("document_id", "section_id", "similarity", "added", "removed")
 
 
 @query("m11_inline_diff")
 def m11(spark, d):
     a, b = _sides(spark, d)
-    both = a.withColumnRenamed("text", "old").join(b.withColumnRenamed("text", "new"), "id").filter("old <> new")
-    return both.select("id", C.inline_diff("old", "new").alias("marked"))
+    both = a.withColumnRenamed("text", "old").join(b.withColumnRenamed("text", "new"), ["document_id", "root_id"]).filter("old <> new")
+    return both.select("document_id", "root_id", C.inline_diff("old", "new").alias("marked"))
 
 
 @query("t10_most_changed")
 def t10(spark, d):
-    return x18(spark, d).withColumn("churn", F.col("added") + F.col("removed")).orderBy(F.desc("churn"), "id").limit(40)
+    return x18(spark, d).withColumn("churn", F.col("added") + F.col("removed")).orderBy(F.desc("churn"), "document_id", "root_id").limit(40)
 
 
-_REQUESTS = f"SELECT id, ms_code, {_KEY.format('section_label')} AS match_key, deletion FROM sc WHERE section_label IS NOT NULL"
-_VERDICT = f"SELECT r.*, CASE WHEN coalesce(deletion, false) AND t.match_key IS NULL THEN 'retenue' WHEN coalesce(deletion, false) THEN 'ecartee' ELSE 'indetermine' END AS verdict FROM ({_REQUESTS}) r LEFT JOIN (SELECT DISTINCT {_KEY.format('section_label')} AS match_key FROM segments WHERE document_id = (SELECT min(id) FROM library_documents)) t USING (match_key)"
+_REQUESTS = f"SELECT id, ms_code, document_id, {_KEY.format('section_label')} AS match_key, deletion FROM sc WHERE section_label IS NOT NULL"
+_TARGETS = f"SELECT DISTINCT document_id, {_KEY.format('section_label')} AS match_key FROM segments"
+_VERDICT = f"SELECT r.*, CASE WHEN coalesce(deletion, false) AND t.match_key IS NULL THEN 'retenue' WHEN coalesce(deletion, false) THEN 'ecartee' ELSE 'indetermine' END AS verdict FROM ({_REQUESTS}) r LEFT JOIN ({_TARGETS}) t ON t.match_key = r.match_key AND t.document_id = r.document_id"
 
 
 def _tracked(spark, d):
-    """Requests followed into the first document of the library."""
-    r = scored(spark, d).filter("section_label is not null").select("id", "ms_code", L.match_key(F.col("section_label")).alias("match_key"), "deletion")
-    first = load(spark, d, "library_documents").agg(F.min("id").alias("document_id"))
-    t = load(spark, d, "segments").join(F.broadcast(first), "document_id").select(L.match_key(F.col("section_label")).alias("match_key"))  # one row
-    return C.track(r, t, "match_key", "deletion")
+    """Requests followed into the text of their document."""
+    r = scored(spark, d).filter("section_label is not null").select("id", "ms_code", "document_id", L.match_key(F.col("section_label")).alias("match_key"), "deletion")
+    t = load(spark, d, "segments").select("document_id", L.match_key(F.col("section_label")).alias("match_key"))
+    return C.track(r, t, ["document_id", "match_key"], "deletion")
 
 
 @query("l6_request_verdicts", f"SELECT id, match_key, verdict FROM ({_VERDICT})")
@@ -147,15 +152,14 @@ def a15(spark, d):
     return C.uptake(_tracked(spark, d), "ms_code", "verdict")
 
 
-@query("a23_target_texts", f"SELECT {_KEY.format('section_label')} AS match_key, string_agg(text, chr(10) ORDER BY section_order, id) AS text FROM segments WHERE document_id = (SELECT min(id) FROM library_documents) GROUP BY 1")
+@query("a23_target_texts", f"SELECT document_id, {_KEY.format('section_label')} AS match_key, string_agg(text, chr(10) ORDER BY section_order, id) AS text FROM segments GROUP BY 1, 2 HAVING count(text) > 0")
 def a23(spark, d):
-    """The texts of one target document by match key, in order."""
-    first = load(spark, d, "library_documents").agg(F.min("id").alias("document_id"))
-    s = load(spark, d, "segments").join(F.broadcast(first), "document_id").filter("text is not null")  # one row
-    rows = F.array_sort(F.collect_list(F.struct("section_order", "id", "text")))
-    return s.groupBy(L.match_key(F.col("section_label")).alias("match_key")).agg(F.array_join(rows["text"], "\n").alias("text"))
+    """The texts of every document by match key, in order."""
+    s = load(spark, d, "segments").filter("text is not null")
+    rows = F.array_sort(F.collect_list(F.struct("section_order", "id", "text")))  # one section of one document
+    return s.groupBy("document_id", L.match_key(F.col("section_label")).alias("match_key")).agg(F.array_join(rows["text"], "\n").alias("text"))
 
 
-@query("a42_status_counts", f"SELECT status, count(*) AS n FROM (SELECT CASE WHEN a.id IS NULL THEN 'ajout' WHEN b.id IS NULL THEN 'suppression' WHEN a.text <> b.text THEN 'reformulation' ELSE 'inchange' END AS status FROM (SELECT id, coalesce(text, '') AS text FROM segments) a FULL JOIN (SELECT id, coalesce(min(text), '') AS text FROM segments_copy GROUP BY id) b ON a.id = b.id) GROUP BY 1")
+@query("a42_status_counts", f"SELECT status, count(*) AS n FROM ({_STATUS}) GROUP BY 1")
 def a42(spark, d):
     return j5(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
