@@ -1,7 +1,7 @@
 """Full-text retrieval by BM25 over postings, with prefix terms, phrases and facets; all in relational operators.
 
-A posting is (doc, field, pos, term). Postings are filtered by the query's terms before anything is joined; corpus figures (number of documents, mean length)
-are one row; a phrase is a join of postings on adjacent positions of one field.
+Texts are folded to their terms once, and the occurrences of every phrase of every question are counted there by one expression each, so nothing is exploded or
+shuffled but the row of corpus figures. Postings (doc, field, pos, term) are what the index keeps per document.
 """
 
 from __future__ import annotations
@@ -55,30 +55,45 @@ def cited_articles(question: str) -> list[str]:
     return [re.sub(r"\s+", " ", m).strip().lower() for m in re.findall(r"\bart(?:icle)?s?\.?\s*(\d+(?:\s*(?:bis|ter|quater))?)", question, re.I)]
 
 
-def _frequencies(post: DataFrame, query: list[tuple[str, list[str], bool]]) -> DataFrame:
-    """(doc, phrase, tf) of the query's phrases."""
-    parts = []
-    for n, (_, words, prefix) in enumerate(query):
-        hit = post.filter(F.col("term").startswith(words[0]) if prefix else F.col("term") == words[0])
-        for step, word in enumerate(words[1:], 1):
-            then = post.filter(F.col("term") == word).select("doc", "field", (F.col("pos") - step).alias("pos"))
-            hit = hit.join(then, ["doc", "field", "pos"])
-        parts.append(hit.groupBy("doc").agg(F.count(F.lit(1)).alias("tf")).withColumn("phrase", F.lit(n)))
-    return reduce(DataFrame.unionByName, parts)
+def _pattern(words: list[str], prefix: bool) -> str:
+    """A regular expression that matches once per occurrence of a phrase in `_flat`, overlapping ones too."""
+    return f"(?<= ){words[0]}" + ("" if prefix else "(?= " + "".join(f"{w} " for w in words[1:]) + ")")
+
+
+def _flat(fields: list[str]) -> Column:
+    """The terms of the fields with one blank around each, and a bar between fields that no phrase crosses."""
+    return F.concat(F.lit(" "), F.concat_ws(" | ", *[F.trim(F.regexp_replace(fold(F.col(f"`{f}`")), r"[^\p{L}\p{N}]+", " ")) for f in fields]), F.lit(" "))
+
+
+def bm25_each(df: DataFrame, doc: str, fields: list[str], questions: dict[str, list[tuple[str, list[str], bool]]]) -> DataFrame:
+    """(question, doc, score) of the documents that hold any phrase of a question; any number of questions in one reading of the texts, and one more for the corpus figures.
+
+    Corpus figures (documents with terms, mean length, documents with a phrase) are one row. Documents without terms count nowhere; a question without phrases has no row.
+    """
+    phrases = list(dict.fromkeys((tuple(words), prefix) for query in questions.values() for _, words, prefix in query))
+    if not phrases:
+        return df.select(F.lit("").alias("question"), F.col(doc).alias("doc"), F.lit(0.0).alias("score")).limit(0)
+    flat = df.select(F.col(doc).alias("doc"), _flat(fields).alias("__t"))
+    held = flat.select("doc", F.regexp_count("__t", F.lit("[^ |]+")).alias("size"), F.array(*[F.regexp_count("__t", F.lit(_pattern(list(w), p))) for w, p in phrases]).alias("tf")).filter("size > 0")
+    figures = held.agg(F.struct(F.count(F.lit(1)).alias("docs"), F.avg("size").alias("mean"), F.array(*[F.count_if(F.col("tf")[n] > 0) for n in range(len(phrases))]).alias("df")).alias("c")).scalar()
+    some = held.filter(F.exists("tf", lambda n: n > 0)).withColumn("c", figures)
+
+    def score(query: list[tuple[str, list[str], bool]]) -> Column:
+        total = F.lit(0.0)
+        for _, words, prefix in query:
+            n = phrases.index((tuple(words), prefix))
+            idf = F.log((F.col("c.docs") - F.col("c.df")[n] + 0.5) / (F.col("c.df")[n] + 0.5))
+            tf = F.col("tf")[n]
+            total += F.when(tf > 0, F.when(idf > 0, idf).otherwise(1e-6) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("size") / F.col("c.mean")))).otherwise(0.0)
+        return total
+
+    scores = F.array(*[F.struct(F.lit(name).alias("question"), score(query).alias("score")) for name, query in questions.items()])
+    return some.select("doc", F.explode(scores).alias("s")).select("s.question", "doc", "s.score").filter("score > 0")
 
 
-def bm25(post: DataFrame, query: list[tuple[str, list[str], bool]]) -> DataFrame:
-    """(doc, score) of the documents that hold any phrase of the query; corpus figures are over all documents of the postings."""
-    if not query:
-        return post.select("doc", F.lit(0.0).alias("score")).limit(0)
-    sizes = post.groupBy("doc").agg(F.count(F.lit(1)).alias("size"))
-    docs, mean = sizes.agg(F.count(F.lit(1))).scalar(), sizes.agg(F.avg("size")).scalar()
-    tf = _frequencies(post, query)
-    df = tf.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = df.withColumns({"docs": docs, "mean_size": mean}).select("phrase", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"), "mean_size")  # a row per phrase of the query
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
-    return tf.join(F.broadcast(weighed), "phrase").join(sizes, "doc").groupBy("doc").agg(F.sum(part).alias("score"))
+def bm25(df: DataFrame, doc: str, fields: list[str], query: list[tuple[str, list[str], bool]]) -> DataFrame:
+    """(doc, score) for one question, as `bm25_each`."""
+    return bm25_each(df, doc, fields, {"": query}).select("doc", "score")
 
 
 def top(scores: DataFrame, k: int, section: Column | None = None, cited: list[str] = (), boost_before_limit: bool = False) -> DataFrame:

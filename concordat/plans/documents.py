@@ -295,7 +295,17 @@ def stream_classified(spark, d):
 
 @query("stream_running_matrix", f"SELECT section_id, ms_code AS party, min(score) AS score FROM (SELECT *, {_SCORE.format('stance')} AS score FROM (SELECT *, {_QUIET} AS stance FROM ({_LEX}))) WHERE score IS NOT NULL AND ms_code IS NOT NULL GROUP BY ALL")
 def stream_matrix(spark, d):
-    return streams.replace(streams.running_matrix(streams.classified(streams.read(spark, f"{d}/contributions.parquet"))), streams.folder(spark))
+    rows = streams.updates(streams.running_matrix(streams.classified(streams.read(spark, f"{d}/contributions.parquet"))), streams.folder(spark), "update")
+    return streams.least_scores(rows, ["section_id", "party"])
+
+
+@query("stream_agreement", f"SELECT a, b, shared, rate FROM (SELECT x.party AS a, y.party AS b, count(*) AS shared, avg(CASE WHEN x.score = y.score THEN 1.0 ELSE 0.0 END) AS rate FROM lm x JOIN lm y ON x.section_id = y.section_id AND x.party < y.party GROUP BY ALL HAVING count(*) >= 2)")
+def stream_agreement(spark, d):
+    """Agreement over lexical stances, compared anew after every batch."""
+    return streams.agreements(streams.classified(streams.read(spark, f"{d}/contributions.parquet")), streams.folder(spark), ["section_id"], "ms_code").select("a", "b", "shared", "rate")
+
+
+ORACLE["stream_agreement"] = ORACLE["stream_agreement"].replace("SELECT a, b, shared", f", lm AS (SELECT section_id, ms_code AS party, min(score) AS score FROM (SELECT *, {_SCORE.format('stance')} AS score FROM (SELECT *, {_QUIET} AS stance FROM ({_LEX}))) WHERE score IS NOT NULL AND ms_code IS NOT NULL GROUP BY ALL) SELECT a, b, shared", 1)
 
 
 @query("stream_latest_analyses", "SELECT contribution_id, stance, score, model FROM an")
@@ -304,17 +314,23 @@ def stream_latest(spark, d):
     return streams.merged(a, streams.folder(spark), ["contribution_id"], "analysed_at", TIES).select("contribution_id", "stance", "score", "model")
 
 
+def _activity(spark, d, *window):
+    rows = streams.updates(streams.activity(streams.read(spark, f"{d}/events.parquet"), "ts", "event_type", *window), streams.folder(spark), "update")
+    return streams.newest(rows, ["start", "event_type"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 @query("stream_daily_activity", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL")
 def stream_daily(spark, d):
-    return streams.replace(streams.activity(streams.read(spark, f"{d}/events.parquet"), "ts", "event_type", "1 day"), streams.folder(spark)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return _activity(spark, d, "1 day")
 
 
 @query("stream_sliding_activity", "SELECT g.start AS start, event_type, count(*) AS n, sum(value) AS total FROM (SELECT *, unnest([time_bucket(INTERVAL 6 HOUR, ts), time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 6 HOUR]) AS start FROM events) g GROUP BY ALL")
 def stream_sliding(spark, d):
-    return streams.replace(streams.activity(streams.read(spark, f"{d}/events.parquet"), "ts", "event_type", "12 hours", "6 hours"), streams.folder(spark)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return _activity(spark, d, "12 hours", "6 hours")
 
 
-@query("stream_sessions", "SELECT min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS \"end\", user_id, count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 1 ELSE 0 END AS b FROM events)) GROUP BY user_id, s")
+@query("stream_sessions", "SELECT * FROM (SELECT min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS \"end\", user_id, count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 1 ELSE 0 END AS b FROM events)) GROUP BY user_id, s) WHERE \"end\" <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
 def stream_sessions(spark, d):
-    out = streams.replace(streams.sessions(streams.read(spark, f"{d}/events.parquet"), "ts", "user_id", "1 hour"), streams.folder(spark))
+    """Sessions that are closed: the watermark, a day behind the last event, has passed their end."""
+    out = streams.append(streams.sessions(streams.read(spark, f"{d}/events.parquet"), "ts", "user_id", "1 hour"), streams.folder(spark))
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})

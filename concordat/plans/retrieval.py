@@ -25,20 +25,29 @@ def query(name: str, sql: str | None = None):
 
 
 QUESTION = 'quels sont les "annual fee" et le registre, article 9 ?'
+QUESTIONS = {"fee": QUESTION, "register": "Which certification body keeps the register?", "phrase": '"the supervisory body" and "annual fee"', "article": "article 14 bis, considérant 12", "none": "zzzz"}
 _POSTINGS = """SELECT id AS doc, f AS field, term, pos FROM (SELECT id, f, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM (SELECT id, 'section_label' AS f, regexp_extract_all(strip_accents(lower(section_label)), '[\\p{L}\\p{N}]+') AS t FROM segments UNION ALL SELECT id, 'text', regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') FROM segments))"""
-_BM25 = f""", post AS ({_POSTINGS}), sizes AS (SELECT doc, count(*) AS size FROM post GROUP BY doc), whole AS (SELECT count(*) AS docs, avg(size) AS mean_size FROM sizes),
-tf AS (SELECT a.doc, 0 AS phrase, count(*) AS tf FROM post a JOIN post b ON a.doc = b.doc AND a.field = b.field AND b.pos = a.pos + 1 WHERE a.term = 'annual' AND b.term = 'fee' GROUP BY 1
- UNION ALL SELECT doc, 1, count(*) FROM post WHERE starts_with(term, 'registre') GROUP BY 1 UNION ALL SELECT doc, 2, count(*) FROM post WHERE starts_with(term, 'article') GROUP BY 1 UNION ALL SELECT doc, 3, count(*) FROM post WHERE term = '9' GROUP BY 1),
-idf AS (SELECT phrase, CASE WHEN ln((docs - n + 0.5) / (n + 0.5)) > 0 THEN ln((docs - n + 0.5) / (n + 0.5)) ELSE 1e-6 END AS idf, mean_size FROM (SELECT phrase, count(*) AS n FROM tf GROUP BY 1), whole),
-bm AS (SELECT doc, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean_size))) AS score FROM tf JOIN idf USING (phrase) JOIN sizes USING (doc) GROUP BY doc)"""
+
+
+def _phrase_sql(words: list[str], prefix: bool) -> str:
+    """(doc) once per occurrence of a phrase, by joins of postings at adjacent places."""
+    joins = "".join(f" JOIN post p{n} ON p{n}.doc = p0.doc AND p{n}.field = p0.field AND p{n}.pos = p0.pos + {n} AND p{n}.term = '{w}'" for n, w in enumerate(words) if n)
+    return f"SELECT p0.doc FROM post p0{joins} WHERE " + (f"starts_with(p0.term, '{words[0]}')" if prefix else f"p0.term = '{words[0]}'")
+
+
+def _bm25_sql(questions: dict[str, str]) -> str:
+    tf = " UNION ALL ".join(f"SELECT '{q}' AS question, {n} AS phrase, doc, count(*) AS tf FROM ({_phrase_sql(w, p)}) GROUP BY doc" for q, text in questions.items() for n, (_, w, p) in enumerate(R.parse(text)))
+    return f""", post AS ({_POSTINGS}), sizes AS (SELECT doc, count(*) AS size FROM post GROUP BY doc), whole AS (SELECT count(*) AS docs, avg(size) AS mean_size FROM sizes), tf AS ({tf}),
+idf AS (SELECT question, phrase, CASE WHEN ln((docs - n + 0.5) / (n + 0.5)) > 0 THEN ln((docs - n + 0.5) / (n + 0.5)) ELSE 1e-6 END AS idf, mean_size FROM (SELECT question, phrase, count(*) AS n FROM tf GROUP BY ALL), whole),
+bm AS (SELECT question, doc, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean_size))) AS score FROM tf JOIN idf USING (question, phrase) JOIN sizes USING (doc) GROUP BY question, doc)"""
 
 
 def _bm25(spark, d):
-    return R.bm25(R.postings(load(spark, d, "segments"), "id", ["section_label", "text"]), R.parse(QUESTION))
+    return R.bm25(load(spark, d, "segments"), "id", ["section_label", "text"], R.parse(QUESTION))
 
 
 def _sql(rest: str) -> str:
-    return WITH.rstrip() + _BM25 + rest
+    return WITH.rstrip() + _bm25_sql({"": QUESTION}) + rest
 
 
 @query("m19_bm25")
@@ -49,6 +58,15 @@ def m19(spark, d):
 ORACLE["m19_bm25"] = _sql(" SELECT doc, score FROM bm")
 
 
+@query("m19_questions")
+def m19_questions(spark, d):
+    """Several questions at once: phrases, prefixes, cited articles, one without a hit."""
+    return R.bm25_each(load(spark, d, "segments"), "id", ["section_label", "text"], {q: R.parse(t) for q, t in QUESTIONS.items()})
+
+
+ORACLE["m19_questions"] = WITH.rstrip() + _bm25_sql(QUESTIONS) + " SELECT question, doc, score FROM bm"
+
+
 @query("t1_search_top")
 def t1(spark, d):
     """The twenty best with their documents, restricted to two kinds of document, the cited article first."""

@@ -116,9 +116,11 @@ def test_bm25(spark):
     assert R.parse('qui parle de "cyber posture" ?') == [("phrase", ["cyber", "posture"], False)]
     assert ("term", ["commente"], True) in R.parse("quels sont les États qui ont commenté")
     df = spark.createDataFrame([(i, "Article", f"Contribution {i} concerning cyber posture") for i in range(5)] + [(9, None, "posture of cyber things"), (10, "x", None)], "id int, label string, text string")
-    post = R.postings(df, "id", ["label", "text"])
-    assert {r["doc"] for r in R.bm25(post, R.parse('"cyber posture"')).collect()} == set(range(5))
-    assert R.bm25(post, []).count() == 0
+    ask = lambda q: {r["doc"] for r in R.bm25(df, "id", ["label", "text"], R.parse(q)).collect()}
+    assert ask('"cyber posture"') == set(range(5)) and ask("cyber") == {0, 1, 2, 3, 4, 9} and ask('"x x"') == set() == ask("")
+    assert R.bm25(df.limit(0), "id", ["label", "text"], R.parse("cyber")).count() == 0
+    plan = R.bm25_each(df, "id", ["label", "text"], {q: R.parse(q) for q in ("cyber posture", "things", "x of it")})
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 2
 
 
 def test_diff_is_the_standard_ratio():
@@ -214,3 +216,34 @@ def test_comment_table(spark):
 
 def test_html():
     assert G.html_text("<html><script>a('</p>')</script><p>One&amp;two<br>three <b>four</b></p><!-- no --></html>") == "One&two\nthree four"
+
+
+def test_streams_go_on_with_new_files(spark, tmp_path):
+    """Stopped and started again with the same folders: nothing of the first run is lost, nothing is counted twice."""
+    from concordat.streaming import streams
+
+    source, where = f"{tmp_path}/in", f"{tmp_path}/out"
+    schema = "contribution_id bigint, section_id string, party string, score int, ts timestamp, value double"
+    parts = [
+        [(1, "a", "X", 2, "2024-01-01 10:00:00", 1.0), (2, "a", "Y", 2, "2024-01-01 10:30:00", 2.0), (3, "b", "X", 1, "2024-01-01 23:00:00", 3.0)],
+        [(1, "a", "X", 0, "2024-01-02 10:00:00", 4.0), (4, "b", "Y", 1, "2024-01-09 10:00:00", 5.0)],
+        [(4, "b", "Y", 0, "2024-01-08 10:00:00", 6.0), (5, "a", "Z", 0, "2024-01-01 00:10:00", 7.0)],
+    ]
+    frame = lambda rows: spark.createDataFrame(rows, "contribution_id bigint, section_id string, party string, score int, ts string, value double").withColumn("ts", F.to_timestamp("ts"))
+    read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    runs = []
+    for part in [*parts, None]:  # the last run finds nothing new
+        if part:
+            frame(part).coalesce(1).write.mode("append").parquet(source)
+        latest = streams.merged(read(), f"{where}/latest", ["contribution_id"], "ts", ["score"])
+        matrix = streams.least_scores(streams.updates(streams.running_matrix(read().withColumnRenamed("party", "ms_code")), f"{where}/matrix", "update"), ["section_id", "party"])
+        days = streams.newest(streams.updates(streams.activity(read(), "ts", "section_id", "1 day"), f"{where}/days", "update"), ["start", "section_id"])
+        sessions = streams.append(streams.sessions(read(), "ts", "party", "1 hour"), f"{where}/sessions")
+        agree = streams.agreements(read(), f"{where}/agree", ["section_id"], "party", 1)
+        runs.append([{tuple(r) for r in df.collect()} for df in (latest.select("contribution_id", "score"), matrix, days.select(F.dayofmonth("start"), "section_id", "n"), sessions.select(F.hour("start"), F.dayofmonth("start"), "party", "n"), agree.select("a", "b", "shared", "rate"))])
+    assert runs[0][0] == {(1, 2), (2, 2), (3, 1)} and runs[1][0] == {(1, 0), (2, 2), (3, 1), (4, 1)} and runs[2][0] == runs[3][0] == {(1, 0), (2, 2), (3, 1), (4, 1), (5, 0)}
+    assert runs[2][1] == {("a", "X", 0), ("a", "Y", 2), ("a", "Z", 0), ("b", "X", 1), ("b", "Y", 0)}
+    assert runs[0][2] == {(1, "a", 2), (1, "b", 1)} and runs[1][2] == {(1, "a", 2), (1, "b", 1), (2, "a", 1), (9, "b", 1)}
+    assert runs[2][2] == runs[1][2] | {(8, "b", 1)}, "the row of 1 January comes after the watermark has passed its day"
+    assert {(10, 1, "X", 1), (10, 1, "Y", 1), (23, 1, "X", 1), (10, 2, "X", 1)} == runs[2][3]
+    assert runs[0][4] == {("X", "Y", 1, 1.0)} and runs[2][4] == runs[3][4] == {("X", "Y", 2, 0.0), ("X", "Z", 1, 1.0), ("Y", "Z", 1, 0.0)}
