@@ -5,7 +5,7 @@ Three proofs, strongest first:
   closing punctuation), so that no value extends itself or another one by a mark alone. All distinct keys are range-sorted, where a key's extensions follow
   it directly, so one pass over sorted partitions compares neighbours; no pair of values is joined and no prefix group meets in one task.
 - `source`: the value is a quotation and its source goes on within the sentence where the value stops.
-- `ending`: no longer copy is stored anywhere, but the value stops without the end of a sentence and is no stock answer (short, without a mark, given by at least two records and one in STOCK_ONE_IN).
+- `ending`: no longer copy is stored anywhere, but the value stops without the end of a sentence and is no stock answer (short, without a mark, given by at least two records and one in stock_one_in; both bounds are parameters).
 A stock answer that longer values extend is none if they are all one text, stored in several lengths.
 """
 
@@ -151,20 +151,20 @@ def _closes(text: str, end: int, value: str) -> bool:
     return ended and rest[0].isspace() and not (regex.search(_SHORTENED, value) and not text[end:].lstrip()[:1].isupper())
 
 
-def find(df: DataFrame, key: str, column: str, source: DataFrame | None = None) -> DataFrame:
+def find(df: DataFrame, key: str, column: str, source: DataFrame | None = None, short_words: int = SHORT_WORDS, stock_one_in: int = STOCK_ONE_IN) -> DataFrame:
     """(id, field_name, value, proof) of the truncated distinct values of `column`.
 
     source: (id, text), the text that the value of this id quotes. Null, empty and blank values and rows with a null key are no case. A value that is a
-    whole text or whole sentence of its source is complete. So is a stock answer: of at most SHORT_WORDS words, without a mark of a cut, and given by at least
-    two keys and one in STOCK_ONE_IN, unless longer values extend it that are all one text. What the text alone cannot tell: a cut as frequent as that of which
+    whole text or whole sentence of its source is complete. So is a stock answer: of at most short_words words, without a mark of a cut, and given by at least
+    two keys and one in stock_one_in, unless longer values extend it that are all one text. What the text alone cannot tell: a cut as frequent as that of which
     no longer value is stored, or of which several that go on differently are, passes for a stock answer, and a rarer short answer for a cut.
     Rows repeated whole count once. Values of any length are compared whole.
     """
     held = lineage.cut(shaped(suspects(df, key, column)).filter(F.col("stem") != ""))
     words = F.size(F.split("form", r"\s+"))
-    often = held.filter((words <= SHORT_WORDS) & (F.col("form") == F.col("stem"))).groupBy("form").agg(F.count_distinct("id").alias("n")).filter("n > 1")
+    often = held.filter((words <= short_words) & (F.col("form") == F.col("stem"))).groupBy("form").agg(F.count_distinct("id").alias("n")).filter("n > 1")
     total = df.filter(F.trim(F.col(f"`{column}`")) != "").agg(F.count_distinct(F.col(f"`{key}`")).alias("total"))
-    answers = often.filter(F.col("n") * STOCK_ONE_IN >= total.scalar()).select("form", F.lit(True).alias("stock"))
+    answers = often.filter(F.col("n") * stock_one_in >= total.scalar()).select("form", F.lit(True).alias("stock"))
     values = shaped(df.select(F.col(f"`{column}`").alias("value")).filter(F.col("value").isNotNull()).distinct()).select(F.col("key").alias("v")).distinct()
     goes_on = extended(held.select(F.col("key").alias("v")).filter(F.col("v") != "").distinct(), values).select(F.col("v").alias("key"), F.lit(True).alias("longer"), "branched")
     got = held.join(answers, "form", "left").join(goes_on, "key", "left")
