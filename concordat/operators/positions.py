@@ -19,8 +19,14 @@ SCORES = {"aligne": 2, "partiel": 1, "oppose": 0}
 
 
 def any_of(text: Column, patterns: list[str]) -> Column:
-    """Whether the lower-cased text matches one of the patterns; one alternation, one pass."""
-    return F.lower(text).rlike("(?U)" + "|".join(patterns))
+    """Whether the lower-cased text matches one of the patterns; one alternation, one pass.
+
+    Patterns that begin a word are tried only where one of their first letters stands and a word begins.
+    """
+    words = [p[2:] for p in patterns if p.startswith(r"\b")]
+    heads = "".join(sorted({w[0] for w in words}))
+    begun = [rf"(?=[{heads}])\b(?:{'|'.join(words)})"] if words else []
+    return F.lower(text).rlike("(?U)" + "|".join([*begun, *(p for p in patterns if not p.startswith(r"\b"))]))
 
 
 def stance_score(stance: Column) -> Column:
@@ -51,7 +57,7 @@ def lexical_stance(df: DataFrame, text: str, kind: Column, silent: Column) -> Da
 
     silent: whether the reference party said nothing on the item, so that any request departs from the text. kind: the contribution's kind.
     Null texts have no stance and no score; blank ones are neutral. Evidence is the first line, at most 600 characters. The markers found make one
-    number, by which the rest is looked up; so each pattern runs once, also where a filter on the score is pushed below.
+    number, by which the rest is looked up. A filter on the result repeats the patterns below; `matrix` therefore drops null scores after its aggregation.
     """
     t = F.col(text)
     bits = [any_of(t, p) for p in (OPPOSE, ALIGNE, PARTIEL, SCRUTINY, DELETION)] + [F.coalesce(silent, F.lit(False)), F.coalesce(kind, F.lit("")) == "drafting"]
@@ -59,7 +65,7 @@ def lexical_stance(df: DataFrame, text: str, kind: Column, silent: Column) -> Da
     for n, bit in enumerate(bits):
         code = code + F.when(bit, F.lit(1 << n)).otherwise(F.lit(0))
     df = df.withColumn("__code", F.when(t.isNotNull(), code))
-    look = lambda values: F.when(F.col("__code").isNotNull(), F.element_at(F.array(*[F.lit(v) for v in values]), F.coalesce("__code", F.lit(0)) + 1))
+    look = lambda values: F.try_element_at(F.array(*[F.lit(v) for v in values]), F.col("__code") + 1)
     return df.withColumns({
         "lex_stance": look([s for s, _ in STANCES]), "lex_confidence": look([c for _, c in STANCES]), "lex_score": look([SCORES.get(s) for s, _ in STANCES]),
         "lex_scrutiny": F.col("__code").bitwiseAND(8) > 0, "lex_deletion": F.col("__code").bitwiseAND(16) > 0,
@@ -78,10 +84,10 @@ def quote_ratio(quote: Column, source: Column) -> Column:
 
 def matrix(df: DataFrame, item: list[str], party: str, score: str, without: str | None = None) -> DataFrame:
     """(item columns, party, score): the least score of each party on each item; null scores and null parties count for nothing."""
-    held = df.filter(F.col(score).isNotNull() & F.col(party).isNotNull())
+    held = df.filter(F.col(party).isNotNull())
     if without is not None:
         held = held.filter(F.col(party) != without)
-    return held.groupBy(*item, F.col(party).alias("party")).agg(F.min(score).alias("score"))
+    return held.groupBy(*item, F.col(party).alias("party")).agg(F.min(score).alias("score")).filter(F.col("score").isNotNull())
 
 
 def _counts() -> list[Column]:

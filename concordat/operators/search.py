@@ -12,6 +12,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from concordat.functions.lineage import cut
+
 K1, B = 1.2, 0.75
 #: Letters that are a Latin letter with accents, and that letter, place by place.
 _BASES = {c: unicodedata.normalize("NFD", c) for c in map(chr, [*range(0xE0, 0x250), *range(0x1E00, 0x1F00)]) if c.islower()}
@@ -57,16 +59,23 @@ def cited_articles(question: str) -> list[str]:
 
 def _pattern(words: list[str], prefix: bool) -> str:
     """A regular expression that matches once per occurrence of a phrase in `_flat`, overlapping ones too."""
-    return f"(?<= ){words[0]}" + ("" if prefix else "(?= " + "".join(f"{w} " for w in words[1:]) + ")")
+    return f" {words[0]}" + ("" if prefix else "(?= " + "".join(f"{w} " for w in words[1:]) + ")")
 
 
 def _flat(fields: list[str]) -> Column:
     """The terms of the fields with one blank around each, and a bar between fields that no phrase crosses."""
-    return F.concat(F.lit(" "), F.concat_ws(" | ", *[F.trim(F.regexp_replace(fold(F.col(f"`{f}`")), r"[^\p{L}\p{N}]+", " ")) for f in fields]), F.lit(" "))
+    terms = [F.nullif(F.trim(F.regexp_replace(fold(F.col(f"`{f}`")), r"[^\p{L}\p{N}]+", " ")), F.lit("")) for f in fields]
+    return F.concat(F.lit(" "), F.concat_ws(" | ", *terms), F.lit(" "))
+
+
+def _size(flat: Column) -> Column:
+    """How many terms `_flat` holds: blanks less one, less the bars; 0 for two blanks alone."""
+    without = lambda sign: F.length(flat) - F.length(F.replace(flat, F.lit(sign), F.lit("")))
+    return F.when(flat == "  ", 0).otherwise(without(" ") - 1 - 2 * without("|"))
 
 
 def bm25_each(df: DataFrame, doc: str, fields: list[str], questions: dict[str, list[tuple[str, list[str], bool]]]) -> DataFrame:
-    """(question, doc, score) of the documents that hold any phrase of a question; any number of questions in one reading of the texts, and one more for the corpus figures.
+    """(question, doc, score) of the documents that hold any phrase of a question; any number of questions in one reading of the texts.
 
     Corpus figures (documents with terms, mean length, documents with a phrase) are one row. Documents without terms count nowhere; a question without phrases has no row.
     """
@@ -74,7 +83,8 @@ def bm25_each(df: DataFrame, doc: str, fields: list[str], questions: dict[str, l
     if not phrases:
         return df.select(F.lit("").alias("question"), F.col(doc).alias("doc"), F.lit(0.0).alias("score")).limit(0)
     flat = df.select(F.col(doc).alias("doc"), _flat(fields).alias("__t"))
-    held = flat.select("doc", F.regexp_count("__t", F.lit("[^ |]+")).alias("size"), F.array(*[F.regexp_count("__t", F.lit(_pattern(list(w), p))) for w, p in phrases]).alias("tf")).filter("size > 0")
+    # kept as counts, of which the corpus figures and the scores are made; a filter on them would otherwise be pushed below and repeat the folding
+    held = cut(flat.select("doc", _size(F.col("__t")).alias("size"), F.array(*[F.regexp_count("__t", F.lit(_pattern(list(w), p))) for w, p in phrases]).alias("tf"))).filter("size > 0")
     figures = held.agg(F.struct(F.count(F.lit(1)).alias("docs"), F.avg("size").alias("mean"), F.array(*[F.count_if(F.col("tf")[n] > 0) for n in range(len(phrases))]).alias("df")).alias("c")).scalar()
     some = held.filter(F.exists("tf", lambda n: n > 0)).withColumn("c", figures)
 

@@ -83,7 +83,7 @@ def agreements(scored: DataFrame, where: str, item: list[str], party: str, least
     def compare(rows: DataFrame, n: int) -> None:
         P.agreement(least_scores(rows, [*item, "party"]), item, least).write.mode("overwrite").parquet(f"{where}/agreement/batch={n}")
 
-    matrix = scored.filter("score is not null").withColumnRenamed(party, "party").filter("party is not null").groupBy(*item, "party").agg(F.min("score").alias("score"))
+    matrix = scored.withColumnRenamed(party, "party").filter("party is not null").groupBy(*item, "party").agg(F.min("score").alias("score")).filter("score is not null")
     rows = updates(matrix, where, "update", compare)
     last = rows.agg(F.max("batch")).first()[0]
     if last is None:
@@ -103,7 +103,7 @@ def classified(contributions: DataFrame) -> DataFrame:
 
 def running_matrix(scored: DataFrame) -> DataFrame:
     """The least score of each party on each item so far; a minimum never has to be taken back when rows arrive late."""
-    return scored.filter("score is not null and ms_code is not null").groupBy("section_id", F.col("ms_code").alias("party")).agg(F.min("score").alias("score"))
+    return scored.filter("ms_code is not null").groupBy("section_id", F.col("ms_code").alias("party")).agg(F.min("score").alias("score")).filter("score is not null")
 
 
 def activity(events: DataFrame, stamp: str, by: str, length: str, slide: str | None = None, late: str = "1 day") -> DataFrame:
