@@ -71,7 +71,7 @@ def _flat(fields: list[str]) -> Column:
 def _size(flat: Column) -> Column:
     """How many terms `_flat` holds: blanks less one, less the bars; 0 for two blanks alone."""
     without = lambda sign: F.length(flat) - F.length(F.replace(flat, F.lit(sign), F.lit("")))
-    return F.when(flat == "  ", 0).otherwise(without(" ") - 1 - 2 * without("|"))
+    return F.when(flat == "  ", 0).otherwise(without(" ") - 1 - without("|"))
 
 
 def bm25_each(df: DataFrame, doc: str, fields: list[str], questions: dict[str, list[tuple[str, list[str], bool]]]) -> DataFrame:
