@@ -7,11 +7,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def counted(df: DataFrame, rule: str, wrong: Column, severity: Column, applies: Column | None = None) -> DataFrame:
-    """(rule, severity, n, of): rows that break a rule, of those it applies to. severity: an expression over n and of, null where there is no alert."""
+#: Members that an alert names, at most, the first in order.
+NAMED = 50
+
+
+def counted(df: DataFrame, rule: str, wrong: Column, severity: Column, applies: Column | None = None, members: Column | None = None) -> DataFrame:
+    """(rule, severity, n, of): rows that break a rule, of those it applies to. severity: an expression over n and of, null where there is no alert.
+
+    members: whom a row concerns, of a bounded set such as parties; given as the sorted array `members`.
+    """
     base = df if applies is None else df.filter(applies)
-    g = base.agg(F.count_if(wrong).alias("n"), F.count(F.lit(1)).alias("of"))
-    return g.select(F.lit(rule).alias("rule"), severity.alias("severity"), "n", "of")
+    named = [] if members is None else [F.slice(F.array_sort(F.collect_set(F.when(wrong, members))), 1, NAMED).alias("members")]
+    g = base.agg(F.count_if(wrong).alias("n"), F.count(F.lit(1)).alias("of"), *named)
+    return g.select(F.lit(rule).alias("rule"), severity.alias("severity"), "n", "of", *(["members"] if named else []))
 
 
 def alerts(parts: list[DataFrame]) -> DataFrame:

@@ -67,3 +67,14 @@ def additions(base: DataFrame, candidates: DataFrame, weights: DataFrame) -> Dat
     out = out.withColumns({"n0": held.agg(F.count(F.lit(1))).scalar(), "share0": held.agg(F.coalesce(F.sum("share"), F.lit(0.0))).scalar()})
     n, s = F.col("n0") + 1, F.col("share0") + F.coalesce("share", F.lit(0.0))
     return out.select("party", F.coalesce("share", F.lit(0.0)).alias("share"), n.alias("n_with"), s.alias("share_with"), ((n >= BLOCKING_STATES) & (s > 1 - POPULATION_SHARE)).alias("blocks"), ((n / MEMBERS >= STATES_SHARE) & (s >= POPULATION_SHARE)).alias("reaches"))
+
+
+def report(members: DataFrame, weights: DataFrame) -> DataFrame:
+    """What each named group of states weighs, whether it decides or blocks, and what it lacks. members: (name, party); a party without a weight counts as a state of weight 0."""
+    g = members.join(weights, "party", "left").groupBy("name").agg(F.count(F.lit(1)).alias("n_states"), F.coalesce(F.sum("share"), F.lit(0.0)).alias("s"))
+    states = F.col("n_states") / MEMBERS
+    return g.select(
+        "name", "n_states", F.round("s", 4).alias("population_share"), F.round(states, 4).alias("states_share"),
+        ((states >= STATES_SHARE) & (F.col("s") >= POPULATION_SHARE)).alias("qualified"), ((F.col("n_states") >= BLOCKING_STATES) & (F.col("s") > 1 - POPULATION_SHARE)).alias("blocks"),
+        F.greatest(F.lit(0), F.lit(round(STATES_SHARE * MEMBERS)) - F.col("n_states")).alias("states_missing"), F.round(F.greatest(F.lit(0.0), POPULATION_SHARE - F.col("s")), 4).alias("population_missing"),
+    )

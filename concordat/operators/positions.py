@@ -157,3 +157,22 @@ def kappa(df: DataFrame, one: str, two: str) -> DataFrame:
     rows, cols = cells.groupBy("x").agg(F.sum("n").alias("nx")), cells.groupBy("y").agg(F.sum("n").alias("ny"))
     chance = rows.join(cols, rows["x"] == cols["y"]).agg(F.coalesce(F.sum(F.col("nx") * F.col("ny")), F.lit(0)))
     return total.withColumn("chance", chance.scalar()).select("total", (F.col("same") / F.col("total")).alias("observed"), F.when(F.col("chance") != F.col("total") * F.col("total"), (F.col("same") / F.col("total") - F.col("chance") / F.col("total") / F.col("total")) / (1 - F.col("chance") / F.col("total") / F.col("total"))).alias("kappa"))
+
+
+# The stance that a kind of request stands for.
+NATURES = {"suppression": "oppose", "modification": "partiel", "soutien": "aligne", "reserve": "oppose", "question": "neutre"}
+
+
+def extracted(df: DataFrame, nature: str, source: str, text: str) -> DataFrame:
+    """Extracted positions as contributions with their analysis: stance by nature, confidence 0.7, the source before the text. Rows of no known nature are dropped."""
+    n = F.col(nature)
+    stance = F.lit(None).cast("string")
+    for name, value in NATURES.items():
+        stance = F.when(n == name, value).otherwise(stance)
+    out = df.withColumns({"stance": stance, "confidence": F.lit(0.7), "scrutiny": n == "reserve", "deletion": n == "suppression", "kind": F.lit("non-paper"), text: F.concat(F.lit("["), F.col(source), F.lit("] "), F.col(text))})
+    return out.filter(F.col("stance").isNotNull())
+
+
+def weighed(df: DataFrame, matches: DataFrame, key: str, factor: float) -> DataFrame:
+    """df with `weight`, the factor for keys that met a criterion and 1 for others, and the `quotation` that shows it. matches: (key, quotation)."""
+    return df.join(matches.dropDuplicates([key]), key, "left").withColumn("weight", F.when(F.col("quotation").isNotNull(), F.lit(factor)).otherwise(1.0))

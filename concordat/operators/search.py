@@ -122,3 +122,10 @@ def snippet(text: Column, words: list[str], around: int = 12) -> Column:
     at = F.greatest(F.array_position(F.transform(tokens, lambda t: match(t)), True) - around, F.lit(1)).cast("int")
     marked = F.transform(F.slice(tokens, at, F.lit(2 * around)), lambda t: F.when(match(t), F.concat(F.lit("«"), t, F.lit("»"))).otherwise(t))
     return F.array_join(marked, " ")
+
+
+def best_card(words: Column, cards: dict[str, list[str]]) -> Column:
+    """The card that has most different words in common with `words`, the first of several; null where none has any."""
+    scored = F.array(*[F.struct(F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in own]))).alias("n"), F.lit(-n).alias("place"), F.lit(name).alias("name")) for n, (name, own) in enumerate(cards.items())])
+    best = F.array_max(scored)
+    return F.when(best["n"] > 0, best["name"])

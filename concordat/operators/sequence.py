@@ -41,6 +41,25 @@ def within_bounds(items: DataFrame, number: Column, bounds: DataFrame) -> DataFr
     return first.drop("__row")
 
 
+# Headings of titles and chapters, which stand at the head of the article that follows.
+TITLE = r"(?im)^[^\S\n]*(?:TITRE|TITLE|CHAPITRE|CHAPTER)[^\S\n]+(?:[IVXLC]+|\d+|premier|first)\b[^\S\n]*[—\-–:.]?[^\S\n]*[^\n]{0,90}$"
+TITLE_WITHIN = 600
+
+
+def titles(df: DataFrame, document: str, order: list[str], label: str, text: str) -> DataFrame:
+    """(document_id, label, title): the title or chapter under which each label of a document first stands. A heading holds until the next; sections before any have none.
+
+    Of several headings in one section the last holds. One document is sorted in one task; null and empty labels have no title.
+    """
+    heads = F.regexp_extract_all(F.substring(text, 1, TITLE_WITHIN), F.lit(TITLE), F.lit(0))
+    head = F.try_element_at(heads, F.lit(-1))
+    rest = F.regexp_replace(F.regexp_replace(head, r"^\s*\w+\s+\w+\s*[—\-–:.]?\s*", ""), r"^[ —\-–:.]+|[ —\-–:.]+$", "")
+    said = F.when(F.length(rest) > 3, F.concat(F.lit(", "), F.upper(F.substring(rest, 1, 1)), F.lower(F.expr("substring(__rest, 2)")))).otherwise("")
+    title = F.when(head.isNotNull(), F.concat(F.when(F.lower(F.trim(head)).startswith("tit"), "Titre ").otherwise("Chapitre "), F.upper(F.regexp_extract(head, r"^\s*\w+\s+(\w+)", 1)), said))
+    held = carry_forward(df.withColumn("__rest", rest), [document], order, title, "title").filter(F.col("title").isNotNull() & (F.col(label) != ""))
+    return held.groupBy(F.col(document).alias("document_id"), F.col(label).alias(label)).agg(F.min_by("title", F.struct(*order)).alias("title"))
+
+
 def running_floor(deltas: Column) -> Column:
     """The running sum of an array of deltas that never falls below 0, as the last value (quotation depth)."""
     return F.aggregate(deltas, F.lit(0), lambda acc, x: F.greatest(acc + x, F.lit(0)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 
 def latest(df: DataFrame, keys: list[str], stamp: str, ties: list[str]) -> DataFrame:
@@ -54,3 +54,24 @@ def integrity(checks: list[tuple[str, DataFrame]]) -> DataFrame:
 def facet(df: DataFrame, column: str, chosen: list[str] | None) -> DataFrame:
     """Multi-select: an empty choice means all."""
     return df.filter(F.col(column).isin(chosen)) if chosen else df
+
+
+def backup(tables: dict[str, DataFrame], folder: str) -> None:
+    """A copy of each table; the names come last, so a folder without them is no whole backup."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([(n,) for n in tables], "name string").coalesce(1).write.mode("overwrite").json(f"{folder}/tables")
+
+
+def restore(spark: SparkSession, folder: str, wanted: dict[str, T.StructType]) -> dict[str, DataFrame]:
+    """The tables of a backup. Raises ValueError where one is missing or lacks a column or has another type, before anything is given."""
+    there = {r["name"] for r in spark.read.schema("name string").json(f"{folder}/tables").collect()}  # a handful of names
+    if missing := sorted(set(wanted) - there):
+        raise ValueError(f"the backup lacks {', '.join(missing)}")
+    tables = {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in wanted}
+    for name, schema in wanted.items():
+        types = dict(tables[name].dtypes)
+        if wrong := [f.name for f in schema if types.get(f.name) != f.dataType.simpleString()]:
+            raise ValueError(f"{name} differs in {', '.join(wrong)}")
+    return tables

@@ -297,7 +297,7 @@ def x3(spark, d):
     return i.groupBy("document_id", "island", "section_id", "ms_code", "kind").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).drop("island")
 
 
-@query("x16_article_status", "SELECT status, count(*) AS n FROM (SELECT CASE WHEN b.id IS NULL AND regexp_matches(a.section_id, '^art_\\d+$') AND a.text IS NOT NULL THEN 'Supprimé' WHEN regexp_matches(a.section_id, '^art_\\d+$') AND a.text <> b.text AND NOT regexp_matches(b.text, '[«»]') THEN 'Modifié' ELSE 'Inchangé' END AS status FROM segments a LEFT JOIN (SELECT DISTINCT id, text FROM segments_copy WHERE text IS NOT NULL) b USING (id)) GROUP BY status")
+@query("x16_article_status", "SELECT status, count(*) AS n FROM (SELECT CASE WHEN b.id IS NULL AND regexp_matches(a.section_id, '^art_\\d+$') AND a.text IS NOT NULL THEN 'Supprimé' WHEN regexp_matches(a.section_id, '^art_\\d+$') AND a.text <> b.text THEN 'Modifié' ELSE 'Inchangé' END AS status FROM segments a LEFT JOIN (SELECT DISTINCT id, text FROM segments_copy WHERE text IS NOT NULL) b USING (id)) GROUP BY status")
 def x16(spark, d):
     done = A.applied(load(spark, d, "segments"), A.instructions(_acts(spark, d), "document_id", "act"))
     return done.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
@@ -307,8 +307,10 @@ def x16(spark, d):
 def l2(spark, d):
     """The reference party's words on a section, where no model derives them."""
     c = contributions(spark, d, "document_id", "section_id", "ms_code", "text").filter("ms_code = 'FR' and text is not null and document_id is not null")
+    before = F.sum(F.length("text") + 1).over(Window.partitionBy("document_id", "section_id").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
+    near = c.withColumn("before", F.coalesce(before, F.lit(0))).filter("before < 600")  # only rows that reach into the 600 characters are collected
     lines = F.array_sort(F.collect_list(F.struct("id", F.substring("text", 1, 600).alias("text"))))
-    return c.groupBy("document_id", "section_id").agg(F.substring(F.array_join(lines["text"], " "), 1, 600).alias("reference"))
+    return near.groupBy("document_id", "section_id").agg(F.substring(F.array_join(lines["text"], " "), 1, 600).alias("reference"))
 
 
 @query("l7_rated_changes", "SELECT a.id, CASE WHEN a.text = b.text THEN 'nul' ELSE '' END AS impact FROM segments a JOIN (SELECT DISTINCT id, text FROM segments_copy) b USING (id) WHERE a.text IS NOT NULL AND b.text IS NOT NULL")

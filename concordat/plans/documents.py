@@ -93,11 +93,10 @@ def s14(spark, d):
     ])
 
 
-@query("s15_order_migration", "SELECT id, CASE WHEN section_kind IN ('paragraphe', 'modification') THEN section_order ELSE section_order END AS place FROM segments WHERE section_id NOT LIKE '%!_bis' ESCAPE '!' AND section_id NOT LIKE '%!_ter' ESCAPE '!' AND section_id NOT LIKE '%!_quater' ESCAPE '!'")
+@query("s15_order_migration", r"SELECT id, CASE WHEN regexp_matches(section_id, '^art_\d+_(bis|ter|quater)$') AND section_kind NOT IN ('paragraphe', 'modification') THEN CAST(regexp_extract(section_id, '(\d+)', 1) AS bigint) * 1000 ELSE section_order END AS place FROM segments")
 def s15(spark, d):
-    """Section orders computed anew agree with the stored ones (identifiers with an ordinal after a second underscore tie with their article)."""
-    s = load(spark, d, "segments").filter(~F.col("section_id").rlike("_(bis|ter|quater)$"))
-    return s.select("id", F.when(F.col("section_kind").isin("paragraphe", "modification"), F.col("section_order")).otherwise(L.section_order(F.col("section_id"))).alias("place"))
+    """Section orders computed anew: the stored ones, but an identifier with an ordinal after a second underscore ties with its article."""
+    return load(spark, d, "segments").select("id", F.when(F.col("section_kind").isin("paragraphe", "modification"), F.col("section_order")).otherwise(L.section_order(F.col("section_id"))).alias("place"))
 
 
 @query("s23_population_csv", "SELECT code, nom, population FROM populations")

@@ -67,16 +67,24 @@ def p9(spark, d):
     return t.select("title", F.row_number().over(Window.orderBy(L.title_rank(F.col("title")))).alias("place"))
 
 
-@query("deriv_p10_celex", "SELECT * FROM (VALUES ('32023R2854', '32023R2854'), ('règlement (UE) 2023/2854', '32023R2854'), ('directive (UE) 2019/1024', '32019L1024'), ('https://example.org/?uri=CELEX:32016R0679', '32016R0679'), ('bonjour', '')) t(reference, celex)")
+_NUMBER = "'3' || dossier[:4] || '{0}' || lpad(split_part(dossier, '/', 2), 4, '0')"
+
+
+@query("deriv_p10_celex", f"SELECT doc_id, {_NUMBER.format('R')} AS bare, {_NUMBER.format('R')} AS named, {_NUMBER.format('L')} AS directive, {_NUMBER.format('R')} AS address, '' AS none FROM documents WHERE dossier IS NOT NULL")
 def p10(spark, d):
-    t = spark.createDataFrame([(x,) for x in ("32023R2854", "règlement (UE) 2023/2854", "directive (UE) 2019/1024", "https://example.org/?uri=CELEX:32016R0679", "bonjour")], "reference string")
-    return t.select("reference", L.celex(F.col("reference")).alias("celex"))
+    """Every dossier number as it stands, as regulation, as directive, as an address with the identifier in it, and a text that names no act."""
+    dossier = F.col("dossier")
+    direct = F.concat(F.lit("3"), F.substring(dossier, 1, 4), F.lit("R"), F.lpad(F.substring_index(dossier, "/", -1), 4, "0"))
+    said = {"bare": dossier, "named": F.concat(F.lit("règlement (UE) "), dossier), "directive": F.concat(F.lit("directive (UE) "), dossier), "address": F.concat(F.lit("https://example.org/?uri=CELEX:"), direct), "none": F.lit("bonjour")}
+    return load(spark, d, "documents").filter("dossier is not null").select("doc_id", *[L.celex(c).alias(n) for n, c in said.items()])
 
 
-@query("deriv_p11_celex_both", "SELECT * FROM (VALUES ('règlement (UE) 2023/2854', '32023R2854'), ('directive 2002/58/CE', '32002L0058'), ('règlement (UE) nº 910/2014', '32014R0910'), ('rien', '')) t(act, celex)")
+@query("deriv_p11_celex_both", "SELECT doc_id, '32' || dossier[2:4] || 'R' || lpad(split_part(dossier, '/', 2), 4, '0') AS year_first, '32002' || 'L' || lpad(doc_id % 900 + 1, 4, '0') AS number_first FROM documents WHERE dossier LIKE '20__/%'".replace("lpad(doc_id % 900 + 1, 4, '0')", "lpad(CAST(doc_id % 900 + 1 AS varchar), 4, '0')"))
 def p11(spark, d):
-    t = spark.createDataFrame([(x,) for x in ("règlement (UE) 2023/2854", "directive 2002/58/CE", "règlement (UE) nº 910/2014", "rien")], "act string")
-    return t.select("act", L.celex_both(F.col("act")).alias("celex"))
+    """Acts in both writings: year first, as the dossiers have it, and number first."""
+    held = load(spark, d, "documents").filter("dossier like '20__/%'")
+    number = (F.col("doc_id") % 900 + 1).cast("string")
+    return held.select("doc_id", L.celex_both(F.concat(F.lit("règlement (UE) "), "dossier")).alias("year_first"), L.celex_both(F.concat(F.lit("directive "), number, F.lit("/2002/CE"))).alias("number_first"))
 
 
 @query("deriv_p15_citation", "SELECT s.id, concat_ws(' · ', nullif(s.ms_code, ''), concat_ws(', ', l.name, nullif(s.section_label, ''), CASE WHEN s.page_start IS NULL THEN NULL WHEN s.page_end IS NULL OR s.page_start = s.page_end THEN 'p. ' || s.page_start ELSE 'p. ' || s.page_start || '-' || s.page_end END)) AS citation FROM segments s JOIN library_documents l ON l.id = s.document_id")
@@ -98,10 +106,13 @@ def p19(spark, d):
     return load(spark, d, "documents").select("doc_id", L.version_kind(F.col("text")).alias("kind"))
 
 
-@query("deriv_p20_version_date", "SELECT * FROM (VALUES ('Brussels, 24 July 2026', '2026-07-24'), ('le 1 août 2025 et 3.4.2024', '2025-08-01'), ('15.3.2025', '2025-03-15'), ('40 foo 2020', NULL), ('', NULL)) t(page, version_date)")
+@query("deriv_p20_version_date", "SELECT id, CAST(version_date AS varchar) AS in_words, CAST(version_date AS varchar) AS in_numbers, CAST(version_date AS varchar) AS first_of_two FROM library_documents")
 def p20(spark, d):
-    t = spark.createDataFrame([(x,) for x in ("Brussels, 24 July 2026", "le 1 août 2025 et 3.4.2024", "15.3.2025", "40 foo 2020", "")], "page string")
-    return t.select("page", L.version_date(F.col("page")).alias("version_date"))
+    """Every version's date written in words, in numbers, and before another one; none where there is none."""
+    l = load(spark, d, "library_documents")
+    words = F.concat(F.lit("Brussels, "), F.date_format("version_date", "d MMMM yyyy"))
+    said = {"in_words": words, "in_numbers": F.concat(F.lit("le "), F.date_format("version_date", "d.M.yyyy"), F.lit(" 40 foo 2020")), "first_of_two": F.concat(F.lit("3.4.2024 "), words)}
+    return l.select("id", *[L.version_date(c).alias(n) for n, c in said.items()])
 
 
 @query("deriv_p22_author_guess", "SELECT id, min_by(code, (kind, code)) AS author FROM (SELECT c.id, p.code, CASE WHEN contains(lower(c.text[:800]), lower(p.nom)) THEN 0 ELSE 1 END AS kind FROM c JOIN populations p ON contains(lower(c.text[:800]), lower(p.nom)) OR regexp_matches(c.text[:800], '(^|\\n)' || p.code || '\\s')) GROUP BY id")

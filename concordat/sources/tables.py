@@ -10,6 +10,11 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def open_store(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
+    """The tables of a store by name; raises where one is missing."""
+    return {name: load(spark, folder, name) for name in names}
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """df with exactly the columns of schema: missing ones null, others dropped, types cast.
 
