@@ -63,6 +63,12 @@ def inline_diff(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([inline(a or "", b or "", context=8) for a, b in zip(old, new)])
 
 
+@F.pandas_udf(T.StringType())
+def inline_whole(old: pd.Series, new: pd.Series) -> pd.Series:
+    """Marked differences of whole texts, nothing shortened."""
+    return pd.Series([inline(a or "", b or "", most=10**9) for a, b in zip(old, new)])
+
+
 def versions(old: DataFrame, new: DataFrame, keys: str | list[str], text: str, threshold: float = 0.995, measured: bool = True) -> DataFrame:
     """(keys, status, similarity, added, removed): every key of either side; ajout, suppression, inchange, reformulation.
 

@@ -130,7 +130,7 @@ def s21(spark, d):
     return load(spark, d, "documents").filter("text is not null").select("doc_id", G.usable_page(F.col("text")).alias("reason"))
 
 
-@query("s22_pseudo_pages")
+@query("s22_pseudo_pages", r"""SELECT doc_id, CAST(i - 1 AS int) AS page_no, pages[i] AS page FROM (SELECT doc_id, pages, unnest(range(1, len(pages) + 1)) AS i FROM (SELECT doc_id, list_reduce(list_transform(parts, lambda x: [x]), lambda acc, x: CASE WHEN length(acc[-1]) + 2 + length(x[1]) <= 2600 THEN list_concat(acc[:-2], [acc[-1] || chr(10) || chr(10) || x[1]]) ELSE list_concat(acc, x) END) AS pages FROM (SELECT doc_id, list_filter(string_split_regex(text, '\n\s*\n'), lambda x: trim(x) <> '') AS parts FROM documents WHERE text IS NOT NULL) WHERE len(parts) > 0))""")
 def s22(spark, d):
     """Paragraphs packed in order into pages of at most 2,600 characters."""
     t = load(spark, d, "documents").filter("text is not null").select("doc_id", F.filter(F.split("text", r"\n\s*\n"), lambda x: F.trim(x) != "").alias("parts"))
@@ -165,6 +165,13 @@ def x6(spark, d):
     return G.split_documents(load(spark, d, "documents"), "doc_id", "text", False)
 
 
+@query("x6_kept_characters", r"SELECT doc_id, length(regexp_replace(text, '[ \t\r\n]+', '', 'g')) AS n FROM documents WHERE trim(text, ' \t\r\n' || chr(10) || chr(9) || chr(13)) <> ''")
+def x6_kept(spark, d):
+    """The characters that are no blank, of all blocks of a document: none is lost, none comes twice."""
+    bare = F.length(F.regexp_replace("text", r"[ \t\r\n]+", ""))
+    return G.split_documents(load(spark, d, "documents"), "doc_id", "text", False).groupBy(F.col("document_id").cast("bigint").alias("doc_id")).agg(F.sum(bare).alias("n"))
+
+
 @query("x22_article_headings", r"SELECT doc_id, len(list_distinct(regexp_extract_all(text, '(?im)^[ \t]*(article\s+(?:premier|\d+))[ \t]*$', 1))) AS n FROM documents WHERE text IS NOT NULL")
 def x22(spark, d):
     heads = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?im)^[ \t]*(article\s+(?:premier|\d+))[ \t]*$"), F.lit(1)))
@@ -250,6 +257,12 @@ def x17(spark, d):
     return A.compared(acts, later)
 
 
+@query("x17_withdrawn", f"SELECT document_id AS celex, section_id, kept IS NULL AS withdrawn FROM ({_DIFFERS})")
+def x17_withdrawn(spark, d):
+    """Which instructions the later act no longer has."""
+    return x17(spark, d).select("celex", "section_id", (F.col("change") == "retiree").alias("withdrawn"))
+
+
 @query("j8_act_candidates", "SELECT celex, id FROM (VALUES ('2031/1341'), ('2030/1049'), ('2034/1178')) a(celex) JOIN library_documents ON contains(dossier, celex)")
 def j8(spark, d):
     """Documents whose dossier holds the number of an act; the acts asked for are a short list."""

@@ -143,6 +143,27 @@ def m11(spark, d):
     return both.select("document_id", "root_id", C.inline_diff("old", "new").alias("marked"))
 
 
+_WORDS = r"len(list_filter(string_split_regex({0}.text, '[\s\x{{00a0}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{3000}}\x{{1680}}\x{{205f}}\x{{0085}}\x{{2028}}\x{{2029}}]+'), lambda x: x <> ''))"
+
+
+@query("x18_word_balance", f"SELECT coalesce(a.document_id, b.document_id) AS document_id, coalesce(a.root_id, b.root_id) AS root_id, coalesce({_WORDS.format('b')}, 0) - coalesce({_WORDS.format('a')}, 0) AS balance FROM ({_ROOTS.format('segments')}) a FULL JOIN ({_ROOTS.format('segments_copy')}) b ON a.document_id = b.document_id AND a.root_id = b.root_id")
+def x18_balance(spark, d):
+    """Words added less words removed, which is by how many words the later text is longer."""
+    return x18(spark, d).select("document_id", "root_id", (F.col("added") - F.col("removed")).cast("bigint").alias("balance"))
+
+
+@query("m11_round_trip", "SELECT CAST(NULL AS varchar) AS document_id, CAST(NULL AS varchar) AS root_id WHERE false")
+def m11_round_trip(spark, d):
+    """Marked differences from which either text can't be had back: none."""
+    a, b = _sides(spark, d)
+    both = a.withColumnRenamed("text", "old").join(b.withColumnRenamed("text", "new"), ["document_id", "root_id"])
+    marked = both.withColumn("marked", C.inline_whole("old", "new"))
+    words = lambda c: F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    without = lambda gone, kept: words(F.regexp_replace(F.regexp_replace("marked", gone, ""), kept, "$1"))
+    removed, added = r"(?s)\[-(.*?)-\](?= |$)", r"(?s)\{\+(.*?)\+\}(?= |$)"
+    return marked.filter((without(added, removed) != words("old")) | (without(removed, added) != words("new"))).select("document_id", "root_id")
+
+
 @query("t10_most_changed")
 def t10(spark, d):
     return x18(spark, d).withColumn("churn", F.col("added") + F.col("removed")).orderBy(F.desc("churn"), "document_id", "root_id").limit(40)

@@ -168,14 +168,14 @@ def w9(spark, d):
     return load(spark, d, "segments").groupBy("section_label").agg(F.min("id").alias("id"))
 
 
-@query("w11_packing")
+@query("w11_packing", r"""SELECT id, CAST(i - 1 AS int) AS page_no, pages[i] AS page FROM (SELECT id, pages, unnest(range(1, len(pages) + 1)) AS i FROM (SELECT id, list_reduce(list_transform(parts, lambda x: [x]), lambda acc, x: CASE WHEN length(acc[-1]) + 2 + length(x[1]) <= 600 THEN list_concat(acc[:-2], [acc[-1] || chr(10) || chr(10) || x[1]]) ELSE list_concat(acc, x) END) AS pages FROM (SELECT id, list_filter(string_split_regex(text, '\n+'), lambda x: trim(x) <> '') AS parts FROM segments WHERE text IS NOT NULL) WHERE len(parts) > 0))""")
 def w11(spark, d):
     """Lines of a segment packed in order into pages of at most 600 characters."""
     s = load(spark, d, "segments").select("id", F.filter(F.split("text", "\n+"), lambda x: F.trim(x) != "").alias("parts"))
     return s.select("id", F.posexplode(S.pack(F.col("parts"), 600)).alias("page_no", "page"))
 
 
-@query("w12_quote_depth")
+@query("w12_quote_depth", "SELECT id, list_reduce(list_prepend(0, list_transform(regexp_extract_all(text, '[«»“”]'), lambda x: CASE WHEN x IN ('«', '“') THEN 1 ELSE -1 END)), lambda acc, x: greatest(acc + x, 0)) AS depth FROM segments")
 def w12(spark, d):
     """Depth of quotation at the end of a text, never below 0."""
     signs = F.regexp_extract_all("text", F.lit("[«»“”]"), F.lit(0))
