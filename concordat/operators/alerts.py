@@ -22,16 +22,27 @@ def counted(df: DataFrame, rule: str, wrong: Column, severity: Column, applies:
     return g.select(F.lit(rule).alias("rule"), severity.alias("severity"), "n", "of", *(["members"] if named else []))
 
 
+def counted_together(df: DataFrame, rules: list[tuple[str, Column, Column | None, Column]]) -> DataFrame:
+    """As `counted`, several rules (name, wrong, applies, severity) over one reading of the rows."""
+    yes = lambda c: F.lit(True) if c is None else F.coalesce(c, F.lit(False))
+    row = df.agg(*[x for k, (_, wrong, applies, _) in enumerate(rules) for x in (F.count_if(yes(applies) & F.coalesce(wrong, F.lit(False))).alias(f"n{k}"), F.count_if(yes(applies)).alias(f"of{k}"))])
+    each = row.select(F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"n{k}").alias("n"), F.col(f"of{k}").alias("of")) for k, (name, *_) in enumerate(rules)])).alias("r")).select("r.*")
+    severity = F.lit(None).cast("string")
+    for name, _, _, s in rules:
+        severity = F.when(F.col("rule") == name, s).otherwise(severity)
+    return each.select("rule", severity.alias("severity"), "n", "of")
+
+
 def alerts(parts: list[DataFrame]) -> DataFrame:
     """The alerts that were raised, most severe first in rank."""
     rank = F.when(F.col("severity") == "bloquant", 0).when(F.col("severity") == "attention", 1).otherwise(2)
     return reduce(DataFrame.unionByName, parts).filter(F.col("severity").isNotNull()).withColumn("rank", rank)
 
 
-def coverage(df: DataFrame, party: str, reference: str, stance: str) -> DataFrame:
-    """Rows of other parties without an analysis: attention below 95 % covered, blocking at 50 % or less."""
-    share = 1 - F.col("n") / F.col("of")
-    return counted(df, "coverage", F.col(stance).isNull(), F.when(F.col("of") == 0, None).when(share <= 0.5, "bloquant").when(share < 0.95, "attention"), F.coalesce(F.col(party), F.lit("")) != reference)
+def coverage(party: str, reference: str, stance: str) -> tuple[str, Column, Column, Column]:
+    """The rule on rows of other parties without an analysis: attention below 95 % covered, blocking at 50 % or less."""
+    share = 1 - F.col("n") / F.nullif(F.col("of"), F.lit(0))
+    return "coverage", F.col(stance).isNull(), F.coalesce(F.col(party), F.lit("")) != reference, F.when(share <= 0.5, "bloquant").when(share < 0.95, "attention")
 
 
 def few(df: DataFrame, rule: str, by: list[str], below: int, distinct: str) -> DataFrame:

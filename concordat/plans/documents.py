@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from concordat.functions import labels as L
+from concordat.functions.lineage import cut
 from concordat.operators import alerts as AL, amend as A, positions as P, segment as G, sequence as S, store
 from concordat.plans.base import ITEM, TIES, WITH, analyses, contributions, scored
 from concordat.plans.positions import _QUIET, _LEX, _SCORE
@@ -273,7 +274,7 @@ def j8(spark, d):
 _ALERT = "SELECT '{0}' AS rule, {3} AS severity, n, \"of\" FROM (SELECT count(*) FILTER ({1}) AS n, count(*) AS \"of\" FROM {2})"
 
 
-@query("q16_alerts", "SELECT rule, severity, n, \"of\" FROM (" + " UNION ALL ".join([
+@query("q16_alerts", "SELECT rule, severity, n, \"of\", CASE severity WHEN 'bloquant' THEN 0 WHEN 'attention' THEN 1 ELSE 2 END AS rank FROM (" + " UNION ALL ".join([
     _ALERT.format("coverage", "stance IS NULL", "sc WHERE coalesce(ms_code, '') <> 'FR'", "CASE WHEN 1 - n / \"of\" <= 0.5 THEN 'bloquant' WHEN 1 - n / \"of\" < 0.95 THEN 'attention' END"),
     _ALERT.format("citation", "coalesce(confidence, 0) <= 0", "sc WHERE stance IS NOT NULL", "CASE WHEN n > 0 THEN 'attention' END"),
     _ALERT.format("low confidence", "confidence > 0 AND confidence < 0.45", "sc WHERE stance IS NOT NULL", "CASE WHEN n > 0 THEN 'attention' END"),
@@ -284,20 +285,24 @@ _ALERT = "SELECT '{0}' AS rule, {3} AS severity, n, \"of\" FROM (SELECT count(*)
     _ALERT.format("thin pairs", "shared < 3", "rates", "CASE WHEN n > 0 THEN 'attention' END"),
 ]) + ") WHERE severity IS NOT NULL")
 def q16(spark, d):
+    """Alerts, most severe first: the rules on single contributions in one reading, the matrix made once."""
     s = scored(spark, d)
-    m = P.matrix(s, ITEM, "ms_code", "score", "FR")
+    m = cut(P.matrix(s, ITEM, "ms_code", "score", "FR"))
     some = F.when(F.col("n") > 0, "attention")
     known = F.col("stance").isNotNull()
-    return AL.alerts([
-        AL.coverage(s, "ms_code", "FR", "stance"),
-        AL.counted(s, "citation", F.coalesce("confidence", F.lit(0.0)) <= 0, some, known),
-        AL.counted(s, "low confidence", (F.col("confidence") > 0) & (F.col("confidence") < 0.45), some, known),
-        AL.counted(s, "lexical", F.col("method").startswith("heuristique"), F.when(F.col("n") > 0.2 * F.col("of"), "attention").when(F.col("n") > 0, "information"), known),
+    out = AL.alerts([
+        AL.counted_together(s, [
+            AL.coverage("ms_code", "FR", "stance"),
+            ("citation", F.coalesce("confidence", F.lit(0.0)) <= 0, known, some),
+            ("low confidence", (F.col("confidence") > 0) & (F.col("confidence") < 0.45), known, some),
+            ("lexical", F.col("method").startswith("heuristique"), known, F.when(F.col("n") > 0.2 * F.col("of"), "attention").when(F.col("n") > 0, "information")),
+        ]),
         AL.counted(contributions(spark, d), "long text", F.char_length("text") > 2500, some),
         AL.few(m, "thin items", ITEM, 3, "party"),
         AL.few(m, "thin parties", ["party"], 2, "section_id"),
         AL.counted(P.agreement(m, ITEM), "thin pairs", F.col("shared") < 3, some),
-    ]).drop("rank")
+    ])
+    return out.orderBy("rank", "rule")
 
 
 @query("stream_classified", f"SELECT id, section_id, ms_code, stance, {_SCORE.format('stance')} AS score FROM (SELECT *, {_QUIET} AS stance FROM ({_LEX.replace('FROM c', 'FROM contributions')}))")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from concordat.operators import alerts as AL, amend as A, coalition as K, positions as P, search as R, segment as G, sequence as S, store
+from concordat.functions import udtfs
+from concordat.operators import alerts as AL, amend as A, coalition as K, positions as P, scoring, search as R, segment as G, sequence as S, store
 from concordat.plans.base import WITH, contributions, populations, scored
 from concordat.plans.documents import _DIFFERS, _acts
+from concordat.plans.positions import _LEX, _QUIET
 from concordat.plans.retrieval import QUESTION, _STATUS, _sql, j5
 from concordat.sources.tables import load, open_store
 from concordat.streaming import streams
@@ -234,3 +236,40 @@ def q16_more(spark, d):
         status.agg(both.alias("n"), F.count(F.lit(1)).alias("of")).select(F.lit("renumbering").alias("rule"), some("attention").alias("severity"), "n", "of", F.array(F.lit("ajout"), F.lit("suppression")).alias("members")),
         AL.counted(status, "unrated", F.col("status") == "reformulation", some("information"), None, F.lit(None).cast("string")),
     ]).withColumn("members", F.array_join("members", ",")).drop("rank")
+
+
+@query("u_instructions", f"SELECT document_id, '32023R2854' AS celex, section_id, CASE WHEN kept IS NULL THEN 'suppression' ELSE 'remplacement' END AS operation, pos || '.' AS numero FROM ({_PLACED})")
+def u_instructions(spark, d):
+    """The instructions of acts by the table function in SQL."""
+    udtfs.register(spark)
+    _acts(spark, d).createOrReplaceTempView("__acts")
+    return spark.sql("SELECT a.document_id, i.celex, i.section_id, i.operation, i.numero FROM __acts a, LATERAL instructions(a.act) i")
+
+
+@query("u_text_blocks", r"SELECT doc_id, length(regexp_replace(text, '[ \t\r\n]+', '', 'g')) AS n FROM documents WHERE trim(text, ' ' || chr(10) || chr(9) || chr(13)) <> ''")
+def u_text_blocks(spark, d):
+    """The characters that are no blank of all blocks of a document, by the table function in SQL."""
+    udtfs.register(spark)
+    load(spark, d, "documents").createOrReplaceTempView("__documents")
+    return spark.sql(r"SELECT t.doc_id, sum(length(regexp_replace(b.text, '[ \\t\\r\\n]+', ''))) AS n FROM __documents t, LATERAL text_blocks(t.text) b GROUP BY t.doc_id")
+
+
+@query("d_omnibus_export", rf"SELECT document_id, 'règlement (UE) 2023/2854' AS act, '32023R2854' AS celex, 'Article premier' AS act_article, 'Article ' || num AS article, pos || '.' AS numero, CASE WHEN kept IS NULL THEN 'Suppression' ELSE 'Remplacement' END AS operation, length(CASE WHEN kept IS NULL THEN '' ELSE regexp_replace(regexp_replace(new, '\s*\n\s*', ' ', 'g'), '^\s+|\s+$', '', 'g') END) AS new_chars, coalesce(r.what, '') AS what FROM ({_PLACED}) p LEFT JOIN (SELECT document_id, section_id, min(summary_fr) AS what FROM fr_reference GROUP BY ALL) r USING (document_id, section_id)")
+def d_omnibus(spark, d):
+    """The lines of the export of acts: every instruction with its act, article, operation and what is known of it."""
+    known = load(spark, d, "fr_reference").groupBy("document_id", "section_id").agg(F.min("summary_fr").alias("what"))
+    i = A.instructions(_acts(spark, d), "document_id", "act").join(known, ["document_id", "section_id"], "left")
+    return i.select("document_id", "act", "celex", "act_article", "article", "numero", F.initcap("operation").alias("operation"), F.length("new_text").cast("bigint").alias("new_chars"), F.coalesce("what", F.lit("")).alias("what"))
+
+
+@query("d_amending_map", f"SELECT '32023R2854' AS celex, section_id, CASE WHEN kept IS NULL THEN 'suppression' ELSE 'remplacement' END AS operation, count(DISTINCT document_id) AS acts, count(*) AS n FROM ({_PLACED}) GROUP BY ALL")
+def d_map(spark, d):
+    """The map of what is amended: article by operation, how many acts and instructions."""
+    return A.instructions(_acts(spark, d), "document_id", "act").groupBy("celex", "section_id", "operation").agg(F.count_distinct("document_id").alias("acts"), F.count(F.lit(1)).alias("n"))
+
+
+@query("d_scored_table", "SELECT id, stance, score, method FROM (SELECT id, 'heuristique' AS method, CASE WHEN TRUE THEN stance END AS stance, CASE stance WHEN 'aligne' THEN 2 WHEN 'partiel' THEN 1 WHEN 'oppose' THEN 0 END AS score FROM (SELECT *, {quiet} AS stance FROM ({lex})))".format(quiet=_QUIET, lex=_LEX))
+def d_scored(spark, d):
+    """Contributions through the scorer's protocol."""
+    c = contributions(spark, d, "section_order", "section_id", "ms_code", "kind", "text")
+    return scoring.scored(c, "text", F.col("kind"), F.lit(True)).select("id", "stance", "score", "method")
