@@ -24,7 +24,7 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 40) -> Dat
     nodes: (node); edges: (a, b) in either direction. A node without edges is its own component. Raises if most_rounds don't settle it.
     """
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = nodes.select(F.col("node"), F.col("node").alias("component")).distinct()
+    label = cut(nodes.select(F.col("node"), F.col("node").alias("component")).distinct())
     for _ in range(most_rounds):
         near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("component").alias("near")).withColumnRenamed("a", "node")
         step = label.join(near, "node", "left").select("node", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("was"))
@@ -41,7 +41,7 @@ def blocs(parties: DataFrame, rates: DataFrame, weights: DataFrame, threshold: f
 
     Cohesion is the mean rate of the links that exist, 0 without any. A party without a known weight counts as a member and weighs nothing.
     """
-    edges = rates.withColumn("rate", F.round("rate", 3)).filter((F.col("rate") >= threshold) & (F.col("shared") >= least_shared))
+    edges = cut(rates.withColumn("rate", F.round("rate", 3)).filter((F.col("rate") >= threshold) & (F.col("shared") >= least_shared)))
     label = components(parties.select(F.col("party").alias("node")), edges)
     inner = edges.join(label, edges["a"] == label["node"]).groupBy("component").agg(F.avg("rate").alias("cohesion"))
     grown = label.join(weights, label["node"] == weights["party"], "left").groupBy("component").agg(F.array_join(F.array_sort(F.collect_list("node")), ",").alias("members"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("share"), F.lit(0.0)).alias("share"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from concordat.functions.lineage import cut
+
 # Marker patterns of the lexical stance.
 OPPOSE = [r"\bwe (?:do not|don't) support\b", r"\boppose[sd]?\b", r"\bcannot support\b", r"\bdisagree\b", r"\bwe object\b", r"\bstrongly against\b", r"\bnot in a position\b", r"\bshould be deleted\b", r"\bwe are against\b", r"\bno added value\b"]
 ALIGNE = [r"\bwe support\b", r"\bfully support\b", r"\bwelcome[sd]?\b", r"\bagree\b", r"\bwe are in favour\b", r"\bstrongly support\b", r"\bappreciate\b", r"\bcan support\b", r"\bendorse\b"]
@@ -151,8 +153,8 @@ def round_robin(df: DataFrame, item: str, order: list[str], k: int) -> DataFrame
 
 def kappa(df: DataFrame, one: str, two: str) -> DataFrame:
     """Cohen's kappa of two codings over the rows that have both; null where chance agreement is 1 or there are none."""
-    held = df.filter(F.col(one).isNotNull() & F.col(two).isNotNull())
-    cells = held.groupBy(F.col(one).alias("x"), F.col(two).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    # one small table from which all the rest is made; a filter before it would repeat the codings
+    cells = cut(df.groupBy(F.col(one).alias("x"), F.col(two).alias("y")).agg(F.count(F.lit(1)).alias("n"))).filter("x is not null and y is not null")
     total = cells.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("x") == F.col("y"), F.col("n")).otherwise(0)).alias("same"))
     rows, cols = cells.groupBy("x").agg(F.sum("n").alias("nx")), cells.groupBy("y").agg(F.sum("n").alias("ny"))
     chance = rows.join(cols, rows["x"] == cols["y"]).agg(F.coalesce(F.sum(F.col("nx") * F.col("ny")), F.lit(0)))

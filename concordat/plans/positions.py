@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from concordat.functions.lineage import cut
 from concordat.operators import coalition as K, positions as P, store
 from concordat.plans.base import ITEM, WITH, analyses, contributions, populations, scored
 from concordat.sources.tables import load
@@ -121,7 +122,7 @@ BLOC_THRESHOLD = 0.7
 
 
 def _bloc_query(spark, d, threshold):
-    m = _matrix(spark, d)
+    m = cut(_matrix(spark, d))  # small, and read by every round
     return K.blocs(m.select("party").distinct(), P.agreement(m, ITEM), _weights(spark, d), threshold)
 
 
@@ -240,7 +241,8 @@ _CODED = f"(SELECT l.stance AS one, sc.stance AS two FROM (SELECT id, {_QUIET} A
 
 
 def _coded(spark, d):
-    return P.lexical_stance(scored(spark, d), "text", F.col("kind"), F.lit(True)).select("section_id", F.col("lex_stance").alias("one"), F.col("stance").alias("two")).filter("one is not null and two is not null")
+    both = scored(spark, d).filter("text is not null and stance is not null")  # a text alone is enough for a lexical stance
+    return P.lexical_stance(both, "text", F.col("kind"), F.lit(True)).select("section_id", F.col("lex_stance").alias("one"), F.col("stance").alias("two"))
 
 
 @query("a34_kappa", f"SELECT total, same / total AS observed, (same / total - chance / total / total) / (1 - chance / total / total) AS kappa FROM (SELECT count(*)::DOUBLE AS total_, count(*) AS total, count(*) FILTER (one = two) AS same FROM {_CODED}), (SELECT sum(nx * ny)::DOUBLE AS chance FROM (SELECT one, count(*) AS nx FROM {_CODED} GROUP BY 1) JOIN (SELECT two, count(*) AS ny FROM {_CODED} GROUP BY 1) ON one = two)")
