@@ -90,15 +90,15 @@ def draw(df: DataFrame, key: str, text: str, source: str, targets: DataFrame, to
     """(drawn, report). drawn: (key, source, n_tokens, copy_no), one row per use, copy_no from 1.
 
     report: per source of the targets, what plan() says and the uses, tokens and share reached; `reachable` is false where even max_repeats uses of every record
-    fall short, or the source has no records. Records with null, empty or blank text, a null source or one without a target are never drawn. Rows repeated whole count once;
-    equal sizes are ordered by key. targets: (source, target_share, max_repeats), a driver-sized table. An empty collection draws nothing.
+    fall short, or the source has no records. Records with null, empty or blank text, a null source or one without a target are never drawn. Rows repeated whole count once, two texts under one key
+    are two records; equal sizes are ordered by key. targets: (source, target_share, max_repeats), a driver-sized table. An empty collection draws nothing.
     """
     t = F.col(f"`{text}`")
-    slim = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), t.alias("t")).filter(F.col("source").isNotNull() & F.col("t").rlike(r"\S"))
+    slim = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), t.alias("t"), F.xxhash64(t).alias("content")).filter(F.col("source").isNotNull() & F.col("t").rlike(r"\S"))
     listed = targets.select("source").distinct()
-    sizes = token_counts(slim.join(listed, "source", "left_semi"), "t", ["key", "source"], tokenizer).distinct()
+    sizes = token_counts(slim.join(listed, "source", "left_semi"), "t", ["key", "source", "content"], tokenizer).distinct()
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    row = sizes.repartitionByRange(parts, "source", "n_tokens", "key").sortWithinPartitions("source", "n_tokens", "key")
+    row = sizes.repartitionByRange(parts, "source", "n_tokens", "key").sortWithinPartitions("source", "n_tokens", "key", "content")
     row = cut(row.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
     rates = plan(row.select("source", "n_tokens"), targets, total)
     ends = row.groupBy("part", "source").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))  # at most partitions + sources rows

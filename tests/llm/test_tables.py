@@ -221,6 +221,8 @@ def test_mixture(spark):
     again, _ = mixture.draw(df.repartition(7), "doc_id", "text", "source", targets)
     assert rows(again) == rows(drawn)
     assert mixture.draw(df.limit(0), "doc_id", "text", "source", targets)[0].count() == 0
+    two = spark.createDataFrame([(1, "one text", "big"), (1, "two text", "big"), (1, "one text", "big")], "doc_id bigint, text string, source string").withColumn("content", F.lit(0))
+    assert mixture.draw(two, "doc_id", "text", "source", spark.createDataFrame([("big", 1.0, 1)], "source string, target_share double, max_repeats int"))[0].count() == 2
 
 
 def test_sentences_table(spark):
