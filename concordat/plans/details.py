@@ -308,7 +308,7 @@ def l2(spark, d):
     """The reference party's words on a section, where no model derives them."""
     c = contributions(spark, d, "document_id", "section_id", "ms_code", "text").filter("ms_code = 'FR' and text is not null and document_id is not null")
     before = F.sum(F.length("text") + 1).over(Window.partitionBy("document_id", "section_id").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
-    near = c.withColumn("before", F.coalesce(before, F.lit(0))).filter("before < 600")  # only rows that reach into the 600 characters are collected
+    near = c.withColumn("before", F.coalesce(before, F.lit(0))).filter("before <= 600")  # only rows that reach into the 600 characters are collected
     lines = F.array_sort(F.collect_list(F.struct("id", F.substring("text", 1, 600).alias("text"))))
     return near.groupBy("document_id", "section_id").agg(F.substring(F.array_join(lines["text"], " "), 1, 600).alias("reference"))
 

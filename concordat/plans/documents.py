@@ -202,9 +202,9 @@ def x9(spark, d):
     return A.instructions(_acts(spark, d), "document_id", "act").select("document_id", "section_id", "celex", "operation")
 
 
-@query("x13_applied", rf"SELECT s.document_id, s.section_id, CASE WHEN x.section_id IS NULL THEN s.text WHEN kept IS NULL THEN '' ELSE regexp_replace(regexp_replace(x.new, '\s*\n\s*', ' ', 'g'), '^\s+|\s+$', '', 'g') END AS text_after, CASE WHEN x.section_id IS NULL THEN 'inchange' ELSE 'exacte' END AS fidelity, CASE WHEN x.section_id IS NULL THEN 'Inchangé' WHEN kept IS NULL THEN 'Supprimé' ELSE 'Modifié' END AS status FROM segments s LEFT JOIN ({_DIFFERS}) x USING (document_id, section_id)")
+@query("x13_applied", rf"SELECT s.document_id, s.section_id, CASE WHEN x.section_id IS NULL OR (kept IS NOT NULL AND trim(x.new, ' ' || chr(10)) = '') THEN s.text WHEN kept IS NULL THEN '' ELSE regexp_replace(regexp_replace(x.new, '\s*\n\s*', ' ', 'g'), '^\s+|\s+$', '', 'g') END AS text_after, CASE WHEN x.section_id IS NULL THEN 'inchange' WHEN kept IS NOT NULL AND trim(x.new, ' ' || chr(10)) = '' THEN 'non_appliquee' ELSE 'exacte' END AS fidelity, CASE WHEN x.section_id IS NULL THEN 'Inchangé' WHEN kept IS NULL THEN 'Supprimé' ELSE 'Modifié' END AS status FROM segments s LEFT JOIN ({_DIFFERS}) x USING (document_id, section_id)")
 def x13(spark, d):
-    """Applying each document's act gives the copy's articles."""
+    """Applying each document's act gives the copy's articles; a replacement by an empty text is not applied."""
     return A.applied(load(spark, d, "segments"), A.instructions(_acts(spark, d), "document_id", "act")).select("document_id", "section_id", "text_after", "fidelity", "status")
 
 

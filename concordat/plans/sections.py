@@ -30,7 +30,7 @@ def query(name: str, sql: str | None = None):
 _PLACED = f"SELECT document_id, section_id, row_number() OVER (PARTITION BY document_id ORDER BY section_id) AS pos, regexp_extract(section_id, '(\\d+)', 1) AS num, new, kept FROM ({_DIFFERS})"
 
 
-@query("x5_amending_split", rf"SELECT document_id, 'mod_32023r2854_' || section_id || '_' || pos AS section_id, 'Article premier · ' || pos || '. · règlement (UE) 2023/2854, Article ' || num AS section_label, 'modification' AS section_kind, CASE WHEN kept IS NULL THEN 'L''article ' || num || ' est supprimé.' ELSE 'L''article ' || num || ' est remplacé par le texte suivant:' || chr(10) || '« ' || regexp_replace(regexp_replace(new, '\s*\n\s*', ' ', 'g'), '^\s+|\s+$', '', 'g') || ' »' END AS text FROM ({_PLACED})")
+@query("x5_amending_split", rf"SELECT document_id, 'mod_32023r2854_' || section_id || '_' || pos AS section_id, 'Article premier · ' || pos || '. · règlement (UE) 2023/2854, Article ' || num AS section_label, 'modification' AS section_kind, CASE WHEN kept IS NULL THEN 'L''article ' || num || ' est supprimé.' ELSE 'L''article ' || num || ' est remplacé par le texte suivant:' || CASE WHEN trim(new, ' ' || chr(10)) = '' THEN '' ELSE chr(10) || '« ' || regexp_replace(regexp_replace(new, '\s*\n\s*', ' ', 'g'), '^\s+|\s+$', '', 'g') || ' »' END END AS text FROM ({_PLACED})")
 def x5(spark, d):
     """Acts as one segment per instruction; their only own article amends and is left out."""
     return A.split_acts(_acts(spark, d), "document_id", "act").select("document_id", "section_id", "section_label", "section_kind", "text")
