@@ -74,12 +74,12 @@ def _offset(source: Column, seed: int) -> Column:
 
 
 def plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
-    """Per source of `targets`: records and tokens it has, tokens wanted, the rate of use and whether the target can be reached.
+    """Per source of `targets`: records and tokens it has and the tokens of its largest record, by which a reachable target may be missed at most as records are drawn in order of size; tokens wanted, the rate of use and whether the target can be reached.
 
     total is the chosen number of tokens; without it, as many as the records of all listed sources hold. A source without records has rate 0.
     """
-    held = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n_records"), F.sum("n_tokens").alias("n_tokens"))
-    t = targets.select("source", "target_share", "max_repeats").join(held, "source", "left").na.fill(0, ["n_records", "n_tokens"])
+    held = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n_records"), F.sum("n_tokens").alias("n_tokens"), F.max("n_tokens").alias("largest"))
+    t = targets.select("source", "target_share", "max_repeats").join(held, "source", "left").na.fill(0, ["n_records", "n_tokens", "largest"])
     whole = F.lit(total).cast("double") if total is not None else F.sum("n_tokens").over(Window.partitionBy(F.lit(1))).cast("double")  # one row per source
     t = t.withColumn("total_tokens", whole).withColumn("wanted_tokens", F.col("target_share") * F.col("total_tokens"))
     need = F.when(F.col("n_tokens") > 0, F.col("wanted_tokens") / F.col("n_tokens")).otherwise(F.lit(0.0))
