@@ -7,7 +7,8 @@ verify the positives stay exact at any size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Keys for which a filter is sized at most; at 1 % false positives that takes 4.8 MB.
 MAX_ITEMS = 4_000_000
@@ -29,11 +30,17 @@ def build(keys: DataFrame, *names: str, items: int | None = None, fpp: float = 0
     return bytes(out.toByteArray())
 
 
-def might_contain(keys: DataFrame, filter_: bytes, hashed: Column) -> Column:
-    """Whether the filter may hold the key with this `key_hash`; false means that it certainly does not. JVM-side, inside codegen."""
+def aside(spark: SparkSession, filter_: bytes) -> Column:
+    """The filter as a subquery of one local row: descriptions of a plan, of which the driver holds many, name it, where they spell a literal out in hex."""
+    return spark.createDataFrame(pa.table({"filter": pa.array([filter_], pa.binary())})).scalar()
+
+
+def might_contain(keys: DataFrame, filter_: bytes | Column, hashed: Column) -> Column:
+    """Whether the filter, also one put `aside`, may hold the key with this `key_hash`; false means that it certainly does not. JVM-side, inside codegen."""
     from pyspark.sql.classic.column import Column as ClassicColumn
 
     jvm = keys.sparkSession._jvm
     to_expr, to_column = jvm.org.apache.spark.sql.classic.ExpressionUtils.expression, jvm.org.apache.spark.sql.classic.ExpressionUtils.column
-    test = jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(to_expr(F.lit(bytearray(filter_))._jc), to_expr(hashed._jc))
+    held = filter_ if isinstance(filter_, Column) else F.lit(bytearray(filter_))
+    test = jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(to_expr(held._jc), to_expr(hashed._jc))
     return ClassicColumn(to_column(test))

@@ -27,7 +27,7 @@ def find(child: DataFrame, parent: DataFrame, on: list[tuple[str, str]]) -> Data
     refs = child.filter(refers)
     keys = parent.select(*[F.col(f"`{p}`").cast(child.schema[c].dataType).alias(f"__{k}") for k, (c, p) in enumerate(on)]).na.drop()
     cols = [f"__{k}" for k in range(len(on))]
-    held = bloom.build(keys, *cols)
+    held = bloom.aside(child.sparkSession, bloom.build(keys, *cols))
     maybe = bloom.might_contain(child, held, bloom.key_hash(*[F.col(f"`{c}`") for c in names]))
     certain = refs.filter(~maybe)
     passed = refs.filter(maybe).select(*[F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(names)]).distinct()

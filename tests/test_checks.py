@@ -68,6 +68,13 @@ def test_orphans_of_composite_keys_at_a_saturated_filter(spark, monkeypatch):
     assert orphans.find(child, parent, [("a", "a"), ("b", "b")]).count() == 10
 
 
+def test_orphans_without_the_filter_in_the_plan(spark):
+    parent = spark.range(100_000).selectExpr("cast(id as string) as id")
+    got = orphans.find(spark.range(99_990, 100_010).selectExpr("cast(id as string) as ref"), parent, [("ref", "id")])
+    assert got.count() == 10
+    assert len(got._jdf.queryExecution().toString()) < 50_000  # the filter has 120 kB, spelled out at each of its uses
+
+
 def test_differences(spark):
     a = spark.createDataFrame([(1, "x", {"k": "v"}), (2, None, None), (3, "same", None), (5, "q", None), (None, "n", None)], "id bigint, text string, m map<string,string>")
     b = spark.createDataFrame([(1, "X", {"k": "v"}), (2, "", None), (3, "same", None), (3, "same", None), (4, "new", None), (5, "q", {"z": "1"})], "id bigint, text string, m map<string,string>")
